@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parallaxa.llm.bpe import encode_corpus
 from parallaxa.llm.components import connected_groups
 from parallaxa.llm.topn import top_n
 from parallaxa.plans.registry import Registry
@@ -80,3 +81,9 @@ def p3_found(spark, sf_dir):
         ["feature_set_id"],
         "top_k",
     ).select("task_id", "query_feature_set_id", "feature_set_id")
+
+
+@REGISTRY.query("p6_ids")
+def p6_ids(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_corpus(documents).select("doc_id", "ids")

@@ -65,36 +65,27 @@ def peel(edges: DataFrame, max_rounds: int) -> tuple[list[Cut], int, bool]:
     return frontiers, start, False
 
 
-def propagate(edges: DataFrame, low: DataFrame | None = None, seed: int = 7) -> tuple[DataFrame, list[Cut]]:
-    """(v, low): the smallest vertex of each vertex's component; `low` (v, low) replaces the vertex where it has a row.
+def propagate(edges: DataFrame, shrunk: tuple[int, int] | None = None, seed: int = 7) -> DataFrame:
+    """(v, low): the smallest vertex of each vertex's component.
 
-    Each round a vertex takes the smallest scrambled name among itself and its neighbours, and vertices of one name
-    merge. The scrambling is new each round, so that chains in id order shrink by a constant factor too: the rounds
-    grow with the logarithm of the longest chain, and what is left shrinks geometrically.
+    `shrunk` is a vertex that stands for others, with the smallest of those. Each round a vertex takes the smallest
+    scrambled name among itself and its neighbours, and vertices of one name merge. The scrambling is new each round,
+    so that chains in id order shrink by a constant factor too: the rounds grow with the logarithm of the longest
+    chain, and what is left shrinks geometrically, as do the tables of names that are joined up in the end.
     """
     rnd = random.Random(seed)
-    held: list[Cut] = []
-    levels: list[tuple[Cut, Cut]] = []
+    levels: list[Cut] = []
     now: DataFrame = edges.select("u", "v")
     now_cut: Cut | None = None
-    lows = low
     while now.head(1):
         mask = rnd.getrandbits(63)
-        both = _both_ways(now)
-        name = both.groupBy(F.col("u").alias("x")).agg(
-            F.least(_mixed(F.col("x"), mask), F.min(_mixed(F.col("v"), mask))).alias("name")
+        name = (
+            _both_ways(now)
+            .groupBy(F.col("u").alias("x"))
+            .agg(F.least(_mixed(F.col("x"), mask), F.min(_mixed(F.col("v"), mask))).alias("name"))
         )
         names = cut(name, "names")
-        with_low = names.df.withColumn("low", F.col("x"))
-        if lows is not None:
-            with_low = (
-                names.df.join(lows.select(F.col("v").alias("x"), F.col("low").alias("known")), "x", "left")
-                .withColumn("low", F.coalesce("known", "x"))
-                .drop("known")
-            )
-        merged = cut(with_low.groupBy(F.col("name").alias("v")).agg(F.min("low").alias("low")), "lows")
-        levels.append((names, merged))
-        lows = merged.df
+        levels.append(names)
         of_u = names.df.select(F.col("x").alias("u"), F.col("name").alias("a"))
         of_v = names.df.select(F.col("x").alias("v"), F.col("name").alias("b"))
         following = cut(
@@ -110,21 +101,18 @@ def propagate(edges: DataFrame, low: DataFrame | None = None, seed: int = 7) ->
         now, now_cut = following.df, following
     if now_cut is not None:
         now_cut.drop()
-    found: DataFrame | None = None
-    for names, merged in reversed(levels):
-        known = merged.df if found is None else merged.df.join(found.select("v"), "v", "left_anti").unionByName(found)
-        step = cut(
-            names.df.join(known.select(F.col("v").alias("name"), "low"), "name").select(F.col("x").alias("v"), "low"), "labels"
-        )
+    if not levels:
+        return edges.select("v", F.col("v").alias("low")).limit(0)
+    final = levels[-1].df
+    for names in reversed(levels[:-1]):
+        later = final.select(F.col("x").alias("name"), F.col("name").alias("later"))
+        final = names.df.join(later, "name", "left").select("x", F.coalesce("later", "name").alias("name"))
+    members = cut(final, "members")
+    for names in levels:
         names.drop()
-        merged.drop()
-        if held:
-            held.pop().drop()
-        held.append(step)
-        found = step.df
-    if found is None:
-        found = edges.select("v", F.col("v").alias("low")).limit(0)
-    return found, held
+    least = F.col("x") if shrunk is None else F.when(F.col("x") == shrunk[0], F.lit(shrunk[1])).otherwise(F.col("x"))
+    lows = members.df.groupBy("name").agg(F.min(least).alias("low"))
+    return members.df.join(lows, "name").select(F.col("x").alias("v"), "low")
 
 
 def connected_groups(
@@ -191,7 +179,7 @@ def connected_groups(
         mark = seen.select(F.col("v").alias("u"))
         if exhausted:
             rest = cut(edges.join(mark, "u", "left_anti"), "rest")
-            found, _ = propagate(rest.df)
+            found = propagate(rest.df)
             giant = F.lit(smallest)
         else:
             in_u = mark.withColumn("in_u", F.lit(True))
@@ -207,8 +195,7 @@ def connected_groups(
                 .distinct(),
                 "rest",
             )
-            low = rest.df.sparkSession.createDataFrame([(start, smallest)], "v bigint, low bigint")
-            found, _ = propagate(rest.df, low)
+            found = propagate(rest.df, (start, smallest))
             row = found.where(F.col("v") == start).head()
             giant = F.lit(row["low"] if row else smallest)
             found = found.where(F.col("v") != start)

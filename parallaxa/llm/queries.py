@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from parallaxa.llm.bpe import encode_corpus
 from parallaxa.llm.components import connected_groups
+from parallaxa.llm.setsim import similar_sets
 from parallaxa.llm.topn import top_n
+from parallaxa.plans.lineage import cut
 from parallaxa.plans.registry import Registry
 from parallaxa.plans.tables import table
 
@@ -87,3 +89,88 @@ def p3_found(spark, sf_dir):
 def p6_ids(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_corpus(documents).select("doc_id", "ids")
+
+
+_SETS = """
+WITH postings AS (
+  SELECT DISTINCT * FROM visual_index_postings WHERE bucket_key IS NOT NULL AND feature_set_id IS NOT NULL
+), limits AS (SELECT DISTINCT visual_index_id, max_bucket_postings FROM visual_index_tasks),
+small AS (
+  SELECT p.visual_index_id, l.max_bucket_postings, p.table_no, p.bucket_key
+  FROM postings p JOIN limits l ON l.visual_index_id = p.visual_index_id
+  GROUP BY ALL HAVING count(*) <= l.max_bucket_postings
+), sets AS (
+  SELECT DISTINCT s.*, p.feature_set_id AS f
+  FROM postings p JOIN small s ON s.visual_index_id = p.visual_index_id AND s.table_no IS NOT DISTINCT FROM p.table_no
+    AND s.bucket_key = p.bucket_key
+), sizes AS (SELECT visual_index_id, max_bucket_postings, f, count(*) AS n FROM sets GROUP BY ALL),
+shared AS (
+  SELECT a.visual_index_id, a.max_bucket_postings, a.f AS fa, b.f AS fb, count(*) AS evidence
+  FROM sets a JOIN sets b ON a.visual_index_id = b.visual_index_id AND a.max_bucket_postings = b.max_bucket_postings
+    AND a.table_no IS NOT DISTINCT FROM b.table_no AND a.bucket_key = b.bucket_key AND a.f < b.f
+  GROUP BY ALL
+)
+SELECT t.task_id, s.fa AS feature_set_id_a, s.fb AS feature_set_id_b{more}
+FROM shared s JOIN sizes x ON x.visual_index_id = s.visual_index_id AND x.max_bucket_postings = s.max_bucket_postings AND x.f = s.fa
+JOIN sizes y ON y.visual_index_id = s.visual_index_id AND y.max_bucket_postings = s.max_bucket_postings AND y.f = s.fb
+JOIN visual_index_tasks t ON t.visual_index_id = s.visual_index_id AND t.max_bucket_postings = s.max_bucket_postings
+WHERE s.evidence >= t.minimum_evidence_count AND 5 * s.evidence >= 2 * (x.n + y.n - s.evidence)
+"""
+
+
+def _evidence(spark, sf_dir):
+    """Similar pairs of feature sets of each task, with the number of buckets that both are in."""
+    tasks = table(spark, sf_dir, "visual_index_tasks").select(
+        "task_id", "visual_index_id", "max_bucket_postings", "minimum_evidence_count"
+    )
+    limits = tasks.select("visual_index_id", "max_bucket_postings").distinct()
+    bucket = ["visual_index_id", "table_no", "bucket_key"]
+    postings = (
+        table(spark, sf_dir, "visual_index_postings")
+        .where("bucket_key is not null and feature_set_id is not null")
+        .distinct()
+        .withColumn("table_no", F.coalesce("table_no", F.lit(-1)))
+    )
+    written = cut(postings.select(*bucket, "feature_set_id"), "postings")
+    counts = written.df.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"))
+    space = ["visual_index_id", "max_bucket_postings"]
+    large = counts.join(limits, "visual_index_id").where("n > max_bucket_postings").select(*bucket, "max_bucket_postings")
+    # an element is the bucket's number within its index: 3 bits of table above 32 bits of key
+    small = (
+        written.df.join(limits, "visual_index_id")
+        .join(large, [*bucket, "max_bucket_postings"], "left_anti")
+        .select(
+            *space,
+            "feature_set_id",
+            F.shiftleft(F.col("table_no").cast("bigint"), 32).bitwiseOR(F.col("bucket_key")).alias("element"),
+        )
+    )
+    cap = tasks.agg(F.max("max_bucket_postings")).head()[0] or 0
+    found = similar_sets(small, space, "feature_set_id", "element", 0.4, element_cap=cap)
+    classes = found.pairs.select(*space, F.col("a").alias("class_a"), F.col("b").alias("class_b"), "overlap").unionByName(
+        found.members.groupBy(*space, "class_id", "size")
+        .count()
+        .where("count > 1")
+        .select(*space, F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b"), F.col("size").alias("overlap"))
+    )
+    a = found.members.select(*space, F.col("id").alias("a"), F.col("class_id").alias("class_a"))
+    b = found.members.select(*space, F.col("id").alias("b"), F.col("class_id").alias("class_b"))
+    pairs = (
+        classes.join(a, [*space, "class_a"]).join(b, [*space, "class_b"]).where("class_a <> class_b or a < b")
+    )
+    return pairs.join(tasks, space).where("overlap >= minimum_evidence_count").select(
+        "task_id",
+        F.least("a", "b").alias("feature_set_id_a"),
+        F.greatest("a", "b").alias("feature_set_id_b"),
+        F.col("overlap").cast("bigint").alias("evidence_count"),
+    )
+
+
+@REGISTRY.query("p5_found", _SETS.format(more=""))
+def p5_found(spark, sf_dir):
+    return _evidence(spark, sf_dir).drop("evidence_count")
+
+
+@REGISTRY.query("p5_evidence", _SETS.format(more=", s.evidence AS evidence_count"))
+def p5_evidence(spark, sf_dir):
+    return _evidence(spark, sf_dir)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from parallaxa.llm.bpe import encode_corpus
 from parallaxa.llm.components import connected_groups
+from parallaxa.llm.knn import Space, nearest, pack_floats
 from parallaxa.llm.setsim import similar_sets
 from parallaxa.llm.topn import top_n
 from parallaxa.plans.lineage import cut
@@ -174,3 +175,89 @@ def p5_found(spark, sf_dir):
 @REGISTRY.query("p5_evidence", _SETS.format(more=", s.evidence AS evidence_count"))
 def p5_evidence(spark, sf_dir):
     return _evidence(spark, sf_dir)
+
+
+#: Distances up to which a neighbour counts: differing bits (type 1) and Euclidean (type 2). Fixed values.
+_RADIUS = {1: 40, 2: 150}
+
+
+def _neighbours(spark, sf_dir, k=5):
+    descriptors = table(spark, sf_dir, "descriptors").where(F.col("descriptor_type").isin(*_RADIUS))
+    kinds = sorted(
+        (r["descriptor_type"], r["descriptor_dimension"])
+        for r in descriptors.select("descriptor_type", "descriptor_dimension").distinct().dropna().collect()
+    )
+    spaces = [
+        Space("hamming", 8 * dim, _RADIUS[kind]) if kind == 1 else Space("l2", dim, _RADIUS[kind]) for kind, dim in kinds
+    ]
+    number = F.lit(None).cast("int")
+    for i, (kind, dim) in enumerate(kinds):
+        number = F.when((F.col("descriptor_type") == kind) & (F.col("descriptor_dimension") == dim), i).otherwise(number)
+    bits = F.when(F.octet_length("descriptor_u8") == F.col("descriptor_dimension"), F.col("descriptor_u8"))
+    packed = pack_floats(
+        F.when(F.col("descriptor_type") == 2, F.col("descriptor_f32")), F.col("descriptor_dimension")
+    )
+    rows = descriptors.select(
+        number.alias("space"),
+        F.col("feature_set_id").alias("major"),
+        F.col("feature_index").alias("minor"),
+        F.when(F.col("descriptor_type") == 1, bits).otherwise(packed).alias("payload"),
+    )
+    return nearest(rows, spaces, k).per_record()
+
+
+_NEAR = """
+WITH valid AS (
+  SELECT DISTINCT feature_set_id AS s, feature_index AS i, descriptor_type AS t, descriptor_dimension AS d,
+    descriptor_u8 AS u, descriptor_f32 AS f
+  FROM descriptors
+  WHERE (descriptor_type = 1 AND octet_length(descriptor_u8) = descriptor_dimension)
+    OR (descriptor_type = 2 AND len(descriptor_f32) = descriptor_dimension
+      AND len(list_filter(descriptor_f32, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+), near AS (
+  SELECT a.s, a.i, b.s AS s2, b.i AS i2, bit_count(xor(a.u::BIT, b.u::BIT))::DOUBLE AS distance
+  FROM valid a JOIN valid b ON a.t = 1 AND b.t = 1 AND a.d = b.d AND (a.s <> b.s OR a.i <> b.i)
+  WHERE bit_count(xor(a.u::BIT, b.u::BIT)) <= 40
+  UNION ALL
+  SELECT a.s, a.i, b.s, b.i, list_distance(a.f::DOUBLE[], b.f::DOUBLE[])
+  FROM valid a JOIN valid b ON a.t = 2 AND b.t = 2 AND a.d = b.d AND (a.s <> b.s OR a.i <> b.i)
+  WHERE list_distance(a.f::DOUBLE[], b.f::DOUBLE[]) <= 150
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY s, i ORDER BY distance, s2, i2) AS place FROM near)
+"""
+
+
+@REGISTRY.query(
+    "p4_found",
+    _NEAR
+    + """SELECT DISTINCT
+  CASE WHEN (s, i) < (s2, i2) THEN s ELSE s2 END AS feature_set_id_a,
+  CASE WHEN (s, i) < (s2, i2) THEN i ELSE i2 END AS feature_index_a,
+  CASE WHEN (s, i) < (s2, i2) THEN s2 ELSE s END AS feature_set_id_b,
+  CASE WHEN (s, i) < (s2, i2) THEN i2 ELSE i END AS feature_index_b
+FROM ranked WHERE place <= 5""",
+)
+def p4_found(spark, sf_dir):
+    me, other = F.struct("major", "minor"), F.struct(F.col("other_major").alias("major"), F.col("other_minor").alias("minor"))
+    pairs = _neighbours(spark, sf_dir).select(F.least(me, other).alias("a"), F.greatest(me, other).alias("b"))
+    return pairs.select(
+        F.col("a.major").alias("feature_set_id_a"),
+        F.col("a.minor").alias("feature_index_a"),
+        F.col("b.major").alias("feature_set_id_b"),
+        F.col("b.minor").alias("feature_index_b"),
+    ).distinct()
+
+
+@REGISTRY.query(
+    "p4_neighbours",
+    _NEAR
+    + """SELECT s AS feature_set_id, i AS feature_index, s2 AS neighbour_feature_set_id, i2 AS neighbour_feature_index,
+  round(distance, 6) AS distance FROM ranked WHERE place <= 5""",
+)
+def p4_neighbours(spark, sf_dir):
+    return _neighbours(spark, sf_dir).select(
+        F.col("major").alias("feature_set_id"),
+        F.col("minor").alias("feature_index"),
+        F.col("other_major").alias("neighbour_feature_set_id"),
+        F.col("other_minor").alias("neighbour_feature_index"),
+        F.round("distance", 6).alias("distance"),
+    )

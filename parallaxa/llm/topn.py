@@ -77,7 +77,7 @@ def top_n(
     merge them afterwards, over rows sorted by group, so that neither side ever holds a whole group.
     """
     group, unique = list(group), list(unique)
-    order = [*order, *((u, "ascending") for u in unique if u not in [c for c, _ in order])]
+    order = [*order, *((u, "ascending") for u in unique if u not in {c for c, _ in order})]
     score = order[0][0]
     columns = list(dict.fromkeys([*group, *(c for c, _ in order), *unique, n]))
     rows = df.select(columns).where(F.col(score).isNotNull()).where(F.col(n) > 0)

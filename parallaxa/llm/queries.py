@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parallaxa.llm.abuse import score_texts
 from parallaxa.llm.bpe import encode_corpus
 from parallaxa.llm.components import connected_groups
 from parallaxa.llm.knn import Space, nearest, pack_floats
@@ -261,3 +262,39 @@ def p4_neighbours(spark, sf_dir):
         F.col("other_minor").alias("neighbour_feature_index"),
         F.round("distance", 6).alias("distance"),
     )
+
+
+def source_name(column: str = "source"):
+    """One spelling of a source: blanks cut off, lower case, hyphens and inner blanks as underscores; empty as null."""
+    plain = F.regexp_replace(F.lower(F.trim(column)), r"[\s\-]+", "_")
+    return F.when(plain != "", plain)
+
+
+def _scored(spark, sf_dir):
+    return score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels")).rows
+
+
+@REGISTRY.query("p8_found")
+def p8_found(spark, sf_dir):
+    return _scored(spark, sf_dir).where("abusive").select("doc_id")
+
+
+@REGISTRY.query("p8_scores")
+def p8_scores(spark, sf_dir):
+    return _scored(spark, sf_dir).select("doc_id", F.round("score", 6).alias("score"), "abusive")
+
+
+@REGISTRY.query("p8_rates")
+def p8_rates(spark, sf_dir):
+    """Documents, cases and rate of every source, documents without a source included."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", source_name().alias("source"))
+    return (
+        documents.join(_scored(spark, sf_dir), "doc_id")
+        .groupBy("source")
+        .agg(
+            F.count(F.lit(1)).alias("documents"),
+            F.count_if("abusive").alias("cases"),
+            F.round(F.avg(F.col("abusive").cast("double")), 6).alias("rate"),
+            F.round(F.avg("score"), 6).alias("mean_score"),
+        )
+    )

@@ -8,6 +8,7 @@ from parallaxa.llm.abuse import score_texts
 from parallaxa.llm.bpe import encode_corpus
 from parallaxa.llm.components import connected_groups
 from parallaxa.llm.knn import Space, nearest, pack_floats
+from parallaxa.llm.mixture import mix
 from parallaxa.llm.setsim import similar_sets
 from parallaxa.llm.topn import top_n
 from parallaxa.plans.lineage import cut
@@ -298,3 +299,22 @@ def p8_rates(spark, sf_dir):
             F.round(F.avg("score"), 6).alias("mean_score"),
         )
     )
+
+
+def _mixture(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", source_name().alias("source"), "text")
+    weights = table(spark, sf_dir, "source_weights").withColumn("source", source_name())
+    return mix(documents, weights)
+
+
+@REGISTRY.query("p7_mixture")
+def p7_mixture(spark, sf_dir):
+    """How often each document occurs in the mixture (documents that don't are left out)."""
+    return _mixture(spark, sf_dir).copies.where("copies > 0").select(
+        "doc_id", "source", "tokens", F.round("rate", 6).alias("rate"), "copies"
+    )
+
+
+@REGISTRY.query("p7_shares")
+def p7_shares(spark, sf_dir):
+    return _mixture(spark, sf_dir).shares

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parallaxa.catalog import hierarchies
+from parallaxa.catalog import hierarchies, relational, statistics
 from parallaxa.plans.registry import Registry
 
 
 def core() -> Registry:
-    return Registry().merge(hierarchies.REGISTRY)
+    return Registry().merge(hierarchies.REGISTRY, relational.REGISTRY, statistics.REGISTRY)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from parallaxa.catalog import hierarchies, relational, statistics
+from parallaxa.catalog import hierarchies, incremental, relational, similarity, statistics, tracks
 from parallaxa.plans.registry import Registry
 
 
 def core() -> Registry:
-    return Registry().merge(hierarchies.REGISTRY, relational.REGISTRY, statistics.REGISTRY)
+    parts = (hierarchies, relational, statistics, similarity, tracks, incremental)
+    return Registry().merge(*(p.REGISTRY for p in parts))

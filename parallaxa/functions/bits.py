@@ -60,10 +60,11 @@ def set_bits(mask: Column) -> Column:
 def pack_bits(flags: Column) -> Column:
     """A hex string of the mask whose bits, lowest first in each byte, are the array of booleans `flags`."""
     size = F.ceil(F.size(flags) / 8).cast("int")
+    powers = F.array(*[F.lit(1 << k) for k in range(8)])
     one = lambda i: F.aggregate(
         F.sequence(F.lit(0), F.lit(7)),
         F.lit(0),
-        lambda s, k: s + F.when(F.coalesce(F.get(flags, i * 8 + k), F.lit(False)), F.shiftleft(F.lit(1), k)).otherwise(0),
+        lambda s, k: s + F.when(F.coalesce(F.get(flags, i * 8 + k), F.lit(False)), F.element_at(powers, k + 1)).otherwise(0),
     )
     return F.when(F.size(flags) == 0, F.lit("")).otherwise(
         F.array_join(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.lpad(F.hex(one(i)), 2, "0")), "")

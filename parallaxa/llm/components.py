@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parallaxa.operators.components import both_ways, propagate
 from parallaxa.plans.lineage import Cut, cut
 
 
@@ -25,26 +25,12 @@ class _Packing:
         return F.shiftright(F.col(code), self.shift), F.col(code).bitwiseAND(F.lit((1 << self.shift) - 1))
 
 
-def _mixed(x: Column, mask: int) -> Column:
-    """A one-to-one scrambling of BIGINTs (xor and shifts), so that minima fall at random places."""
-    x = x.bitwiseXOR(F.lit(mask))
-    for left, right, again in ((13, 7, 17), (23, 17, 26)):
-        x = x.bitwiseXOR(F.shiftleft(x, left))
-        x = x.bitwiseXOR(F.shiftrightunsigned(x, right))
-        x = x.bitwiseXOR(F.shiftleft(x, again))
-    return x
-
-
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-
-
 def peel(edges: DataFrame, max_rounds: int) -> tuple[list[Cut], int, bool]:
     """Breadth-first search by frontier joins from the vertex of highest degree.
 
     Returns the frontiers, the start vertex, and whether the component was exhausted within `max_rounds`.
     """
-    both = _both_ways(edges)
+    both = both_ways(edges)
     start = both.groupBy("u").count().orderBy(F.desc("count"), "u").head()[0]
     # the hub's own edges are a filter, not a join: no task receives them all by key
     first = both.where(F.col("u") == start).select("v").union(edges.sparkSession.createDataFrame([(start,)], "v bigint"))
@@ -65,56 +51,6 @@ def peel(edges: DataFrame, max_rounds: int) -> tuple[list[Cut], int, bool]:
     return frontiers, start, False
 
 
-def propagate(edges: DataFrame, shrunk: tuple[int, int] | None = None, seed: int = 7) -> DataFrame:
-    """(v, low): the smallest vertex of each vertex's component.
-
-    `shrunk` is a vertex that stands for others, with the smallest of those. Each round a vertex takes the smallest
-    scrambled name among itself and its neighbours, and vertices of one name merge. The scrambling is new each round,
-    so that chains in id order shrink by a constant factor too: the rounds grow with the logarithm of the longest
-    chain, and what is left shrinks geometrically, as do the tables of names that are joined up in the end.
-    """
-    rnd = random.Random(seed)
-    levels: list[Cut] = []
-    now: DataFrame = edges.select("u", "v")
-    now_cut: Cut | None = None
-    while now.head(1):
-        mask = rnd.getrandbits(63)
-        name = (
-            _both_ways(now)
-            .groupBy(F.col("u").alias("x"))
-            .agg(F.least(_mixed(F.col("x"), mask), F.min(_mixed(F.col("v"), mask))).alias("name"))
-        )
-        names = cut(name, "names")
-        levels.append(names)
-        of_u = names.df.select(F.col("x").alias("u"), F.col("name").alias("a"))
-        of_v = names.df.select(F.col("x").alias("v"), F.col("name").alias("b"))
-        following = cut(
-            now.join(of_u, "u")
-            .join(of_v, "v")
-            .where("a <> b")
-            .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-            .distinct(),
-            "contracted",
-        )
-        if now_cut is not None:
-            now_cut.drop()
-        now, now_cut = following.df, following
-    if now_cut is not None:
-        now_cut.drop()
-    if not levels:
-        return edges.select("v", F.col("v").alias("low")).limit(0)
-    final = levels[-1].df
-    for names in reversed(levels[:-1]):
-        later = final.select(F.col("x").alias("name"), F.col("name").alias("later"))
-        final = names.df.join(later, "name", "left").select("x", F.coalesce("later", "name").alias("name"))
-    members = cut(final, "members")
-    for names in levels:
-        names.drop()
-    least = F.col("x") if shrunk is None else F.when(F.col("x") == shrunk[0], F.lit(shrunk[1])).otherwise(F.col("x"))
-    lows = members.df.groupBy("name").agg(F.min(least).alias("low"))
-    return members.df.join(lows, "name").select(F.col("x").alias("v"), "low")
-
-
 def connected_groups(
     pairs: DataFrame,
     side_a: Sequence[str] = ("major_a", "minor_a"),
@@ -168,7 +104,7 @@ def connected_groups(
         coded = cut(coded, "coded").df
     edges = coded.where("u <> v")
     loops = coded.where("u = v").select("u").distinct()
-    alone = loops.join(_both_ways(edges).select("u").distinct(), "u", "left_anti").select(F.col("u").alias("v"), F.col("u").alias("low"))
+    alone = loops.join(both_ways(edges).select("u").distinct(), "u", "left_anti").select(F.col("u").alias("v"), F.col("u").alias("low"))
     labels = alone
     if edges.head(1):
         frontiers, start, exhausted = peel(edges, peel_rounds)

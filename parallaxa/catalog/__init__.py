@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from parallaxa.catalog import hierarchies, incremental, relational, similarity, statistics, tracks
+from parallaxa.catalog import hierarchies, incremental, payloads, relational, similarity, statistics, tracks
 from parallaxa.plans.registry import Registry
 
 
 def core() -> Registry:
-    parts = (hierarchies, relational, statistics, similarity, tracks, incremental)
+    parts = (hierarchies, relational, statistics, similarity, tracks, incremental, payloads)
     return Registry().merge(*(p.REGISTRY for p in parts))

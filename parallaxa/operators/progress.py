@@ -46,7 +46,7 @@ def smoothed_rate(df: DataFrame, key: str, order: Sequence[str], seconds: str, c
         )
 
     samples = F.array_sort(
-        F.collect_list(F.struct(*order, F.col(seconds).cast("double").alias("s"), F.col(completed).cast("double").alias("c")))
+        F.collect_list(F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.col(seconds).cast("double").alias("s"), F.col(completed).cast("double").alias("c")))
     )
     folded = df.groupBy(key).agg(F.aggregate(samples, zero, step).alias("a"))
     return folded.select(key, F.col("a.rate").alias("rate"), F.col("a.positive").alias("positive"), F.col("a.c").alias("last_completed"))

@@ -61,7 +61,7 @@ def s18(spark, sf_dir):
 
 
 @REGISTRY.query(
-    "p06_equal_state",
+    "pred06_equal_state",
     """SELECT lower(hex(scientific_identity)) AS identity, lower(hex(parameter_fingerprint)) AS fingerprint, count(DISTINCT reconstruction_id) AS reconstructions, min(reconstruction_id) AS reused
 FROM incremental_reconstructions GROUP BY scientific_identity, parameter_fingerprint, extension_track_set_id, calibration_scope_id, incremental_kind, incremental_version""",
 )
@@ -77,7 +77,7 @@ def p06(spark, sf_dir):
 
 
 @REGISTRY.query(
-    "p08_graded_quality",
+    "pred08_graded_quality",
     """WITH s AS (SELECT DISTINCT feature_set_id, coverage_ratio AS c, feature_density_per_megapixel AS d, feature_count AS n FROM feature_sets),
 g AS (SELECT feature_set_id, CASE WHEN c < 0.55 THEN 'COVERAGE_VERY_LOW' WHEN c < 0.65 THEN 'COVERAGE_LOW' END AS r1,
   CASE WHEN d < 150 THEN 'DENSITY_VERY_LOW' WHEN d < 250 THEN 'DENSITY_LOW' END AS r2, CASE WHEN n < 100 THEN 'FEW_FEATURES' WHEN n < 1000 THEN 'FEATURES_LOW' END AS r3,

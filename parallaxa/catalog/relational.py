@@ -101,14 +101,14 @@ def s17(spark, sf_dir):
 
 
 @REGISTRY.query(
-    "p02_substring_filter", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'widget')"
+    "pred02_substring_filter", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'widget')"
 )
 def p02(spark, sf_dir):
     return table(spark, sf_dir, "part").where(ascii_contains(F.col("p_name"), "WIDGET")).select("p_partkey", "p_name")
 
 
 @REGISTRY.query(
-    "p03_scope_filter",
+    "pred03_scope_filter",
     f"""SELECT c.task_id, c.query_feature_set_id, count(*) AS kept
 FROM (SELECT DISTINCT * EXCLUDE (ingested_at) FROM visual_index_candidates) c
 JOIN visual_index_tasks t ON t.task_id = c.task_id
@@ -140,7 +140,7 @@ def p03(spark, sf_dir):
 
 
 @REGISTRY.query(
-    "p12_path_validity",
+    "pred12_path_validity",
     """SELECT result_status, match_asset_path IS NULL AS missing,
   regexp_matches(coalesce(match_asset_path, ''), '^[^/]+(/[^/]+)*$') AND NOT regexp_matches(coalesce(match_asset_path, ''), '(^|/)\\.\\.?(/|$)') AS valid,
   count(*) AS rows FROM match_results GROUP BY ALL""",

@@ -26,21 +26,22 @@ from parallaxa.plans.lineage import Cut, cut
 
 #: Words that carry abuse in the languages of the corpus, by kind, in lower case without accents.
 WORDS = {
-    "insult": """idiot idiots moron morons imbecile imbeciles cretin cretins halfwit halfwits dipshit dipshits scumbag
-        scumbags bastard bastards asshole assholes jerk jerks loser losers degenerate degenerates parasite parasites
-        maggot maggots cockroach cockroaches clown clowns rat rats pig pigs worthless brainless spineless braindead
-        filthy vile repulsive disgusting rotten lying ugly miserable clueless stupid bitch whore slut shit scum trottel
-        versager arschloch wichser schwein abschaum hirnloser erbarmlicher dreckiger widerlicher dummer verlogener
-        fresse maul hurensohn depp connard connards abruti abrutis encule encules cretins salaud salauds ordure gueule
-        batard foutre pitoyable menteur rate gilipollas cabron cabrones subnormal imbecil cerdo payaso puta asqueroso
-        repugnante mentiroso pendejo idiota idiotas babaca otario merda lixo burro 馬鹿 バカ クズ ゴミ野郎""",
+    "slur": """imbecile imbeciles cretin cretins halfwit halfwits dipshit dipshits scumbag scumbags bastard bastards asshole
+        assholes jerk jerks loser losers degenerate degenerates maggot maggots cockroach cockroaches bitch whore slut
+        dumbass trottel versager arschloch wichser abschaum hurensohn penner depp connard connards abruti abrutis encule
+        encules salaud salauds salope ordure batard gilipollas cabron cabrones subnormal imbecil pendejo babaca otario
+        馬鹿 バカ クズ ゴミ野郎""",
+    "insult": """idiot idiots moron morons parasite parasites clown clowns rat rats pig pigs worthless brainless spineless
+        braindead filthy vile repulsive disgusting rotten lying ugly miserable clueless stupid shit scum schwein hirnloser
+        erbarmlicher dreckiger widerlicher dummer verlogener fresse maul gueule foutre pitoyable pourri menteur rate cerdo
+        payaso puta asqueroso repugnante mentiroso idiota idiotas merda lixo burro""",
     "threat": """kill yourself die ditch rot hell burn hang hunt bullet bat stab strangle breathing incurable verrecke
         umbringen heimsuchen creve crever mueras muerte matar llorar morra matar 死ね 殺す""",
     "hate": """vermin subhuman foreigners immigrants refugees disabled gay jews muslims blacks animals cage breed thieves
         auslander ungeziefer abschieben dreck etrangers vermine hommes extranjeros basura ratas estrangeiros imigrantes
         外国人 障害者""",
     "sexual": """nude nudes naked tits cock dick blowjob blowjobs horny lick fuck fucking fucked sex panties porn jerked
-        cum boobs titten ficken nacktbilder geil baise nue seins salope desnuda follaba follar tetas culo pelada
+        cum boobs titten ficken nacktbilder geil baise nue seins desnuda follaba follar tetas culo pelada
         transar セックス 裸""",
     "first": """i me my myself mine we our ich mich mir mein wir je moi mon me yo mi eu meu 私""",
     "second": """you your yours yourself u ur du dir dich dein deine euch ihr tu te toi ton ta tes vous votre ti tus
@@ -52,11 +53,12 @@ LOOKALIKES = str.maketrans("аеорсхуіѕјԁһԛмтвкнгαεοικρτ
 SIGNS = str.maketrans("01345789$@€", "oieastbgsae")
 
 FEATURES = (
-    "learned_top learned_second learned_sum learned_peak learned_terms insult_density threat_density hate_density "
-    "sexual_density insult_sentence threat_sentence hate_sentence sexual_sentence second_density near_second near_first "
+    "learned_top learned_second learned_sum learned_peak learned_terms slur_density insult_density threat_density hate_density "
+    "sexual_density slur_sentence insult_sentence threat_sentence hate_sentence sexual_sentence second_density near_second near_first "
     "insult_pair capitals shouting punctuation exclamations disguised starred log_tokens"
 ).split()
 
+_TWICE_ENCODED = re.compile("[\u00c2-\u00f4][\u0080-\u00bf]{1,3}")
 _TAGS = re.compile(r"<[a-zA-Z/][^>]{0,80}>")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_]([ \t.\-_])(?:[^\W\d_]\1)+[^\W\d_](?![^\W_]|[.\-_][^\W_])")
 _INNER = re.compile(r"(?<=[^\W\d_])_(?=[^\W\d_]|\*)")
@@ -77,9 +79,16 @@ def word_key(word: str) -> str:
     return word if len(word) < 3 else word[0] + "".join(sorted(set(word[1:])))
 
 
+def _repaired(match: re.Match) -> str:
+    try:
+        return match.group().encode("latin-1").decode("utf-8")
+    except UnicodeDecodeError:
+        return match.group()
+
+
 def fold(text: str) -> tuple[list[list[str]], dict[str, float]]:
     """Sentences as lists of word keys, and what the disguises and the typography were."""
-    plain = html.unescape(_TAGS.sub(" ", text))
+    plain = _TWICE_ENCODED.sub(_repaired, html.unescape(_TAGS.sub(" ", text)))
     letters = sum(c.isalpha() for c in plain)
     upper = sum(c.isupper() for c in plain)
     visible = "".join(c for c in unicodedata.normalize("NFKC", plain) if unicodedata.category(c) != "Cf")
@@ -147,6 +156,8 @@ def dense_features(text: str | None, weights: dict[str, float]) -> list[float]:
         f["learned_terms"] = max(f["learned_terms"], float(len(found)))
         you = [i for i, k in enumerate(keys) if k in _KINDS["second"]]
         second += len(you)
+        rude = [k in _KINDS["slur"] or k in _KINDS["insult"] for k in keys]
+        f["insult_pair"] = max(f["insult_pair"], float(sum(x and y for x, y in zip(rude, rude[1:], strict=False))))
         for kind, words in _KINDS.items():
             if kind in ("first", "second"):
                 continue
@@ -155,12 +166,11 @@ def dense_features(text: str | None, weights: dict[str, float]) -> list[float]:
             f[f"{kind}_sentence"] = max(f[f"{kind}_sentence"], len(places) / math.sqrt(len(keys)))
             if you and places:
                 f["near_second"] = max(f["near_second"], 1.0 / min(abs(i - j) + 1 for i in you for j in places))
-            if kind == "insult" and places:
-                f["insult_pair"] = max(f["insult_pair"], float(sum(j - i == 1 for i, j in zip(places, places[1:], strict=False))))
+            if kind in ("slur", "insult") and places:
                 own = [i for i, k in enumerate(keys) if k in _KINDS["first"]]
                 if own:
                     f["near_first"] = max(f["near_first"], 1.0 / min(abs(i - j) + 1 for i in own for j in places))
-    for kind in ("insult", "threat", "hate", "sexual"):
+    for kind in ("slur", "insult", "threat", "hate", "sexual"):
         f[f"{kind}_density"] = totals[kind] / tokens
     sums.sort(reverse=True)
     f["learned_top"] = sums[0]
@@ -184,7 +194,7 @@ class AbuseModel:
     trees: int = 30
     depth: int = 4
     step: float = 0.2
-    threshold: float = 0.5
+    threshold: float = 0.6
 
 
 def judged(labels: DataFrame, model: AbuseModel) -> DataFrame:
@@ -301,7 +311,7 @@ def score_texts(documents: DataFrame, labels: DataFrame, model: AbuseModel | Non
     if min(kinds.get(0.0, 0), kinds.get(1.0, 0)) < 5:
         plain = featurize(texts.withColumn("fold", F.lit(None).cast("int")), {}, model)
         at = {n: F.col("dense")[i] for i, n in enumerate(FEATURES)}
-        rule = F.greatest(at["near_second"] * (at["insult_sentence"] > 0).cast("double"), at["threat_sentence"], at["sexual_sentence"])
+        rule = F.greatest(at["near_second"] * (at["slur_sentence"] + at["insult_sentence"] > 0).cast("double"), at["threat_sentence"], at["sexual_sentence"])
         scored = plain.withColumn("score", F.when(empty, 0.0).otherwise(F.least(F.lit(1.0), rule)))
         return Scored(scored.select("doc_id", "score", (F.col("score") >= model.threshold).alias("abusive")), [train])
     lexicon = learn_lexicon(train.df, model)

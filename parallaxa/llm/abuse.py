@@ -300,7 +300,7 @@ def score_texts(documents: DataFrame, labels: DataFrame, model: AbuseModel | Non
 
     Null, empty and wordless texts score 0 and are never abusive; repeated rows each get their score; judgements that
     are null, tied, or of documents that are not there have no effect; other columns are not read. Without judgements
-    of both kinds, a text is abusive if it holds an insult next to a second person, or a threat or sexual words.
+    of both kinds, the score is that of the words alone: insults near a second person, slurs, threats, sexual words.
     A quarter of the judged documents is kept from the trees and calibrates their scores by isotonic regression.
     """
     model = model or AbuseModel()
@@ -311,7 +311,8 @@ def score_texts(documents: DataFrame, labels: DataFrame, model: AbuseModel | Non
     if min(kinds.get(0.0, 0), kinds.get(1.0, 0)) < 5:
         plain = featurize(texts.withColumn("fold", F.lit(None).cast("int")), {}, model)
         at = {n: F.col("dense")[i] for i, n in enumerate(FEATURES)}
-        rule = F.greatest(at["near_second"] * (at["slur_sentence"] + at["insult_sentence"] > 0).cast("double"), at["threat_sentence"], at["sexual_sentence"])
+        rude = at["slur_sentence"] + at["insult_sentence"] > 0
+        rule = F.when(rude & (at["near_second"] >= 0.25), 1.0).otherwise(F.greatest(at["slur_sentence"], at["threat_sentence"], at["sexual_sentence"]))
         scored = plain.withColumn("score", F.when(empty, 0.0).otherwise(F.least(F.lit(1.0), rule)))
         return Scored(scored.select("doc_id", "score", (F.col("score") >= model.threshold).alias("abusive")), [train])
     lexicon = learn_lexicon(train.df, model)

@@ -43,14 +43,23 @@ class Space:
         rows = [np.frombuffer(p, np.uint8 if len(p) == self.dimension else np.float32) for p in payloads.to_pylist()]
         return np.stack(rows).astype(np.float32)
 
-    def squared(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Squared distances; in float64 unless the values are whole and small enough for float32 to be exact."""
+    def within(self, q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, column, squared distance) of the pairs within the radius, of crowded rows only the k + 1 nearest and
+        their equals. One matrix product gives all distances, in float64 unless the values are whole and small enough
+        for float32 to be exact."""
         top = max(float(np.abs(q).max(initial=0)), float(np.abs(x).max(initial=0)))
         whole = not np.any(q % 1) and not np.any(x % 1)
-        kind = np.float32 if whole and 4 * top * top * q.shape[1] < 2**24 else np.float64
+        kind = np.float32 if whole and 2 * top * top * q.shape[1] < 2**24 else np.float64
         q, x = q.astype(kind, copy=False), x.astype(kind, copy=False)
-        found = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * (q @ x.T)
-        return np.maximum(found, 0)
+        ones = lambda v: np.ones((len(v), 1), dtype=kind)
+        left = np.concatenate([2 * q, -(q * q).sum(1, keepdims=True), ones(q)], axis=1)
+        right = np.concatenate([x, ones(x), -(x * x).sum(1, keepdims=True)], axis=1)
+        minus = left @ right.T
+        close = minus >= -self.squared_radius * (1 + 1e-12)
+        if len(x) > k + 1 and np.count_nonzero(close) > 64 * len(q):
+            close &= minus >= np.partition(minus, len(x) - k - 1, axis=1)[:, len(x) - k - 1][:, None]
+        r, c = np.nonzero(close)
+        return r, c, np.maximum(-minus[r, c].astype(np.float64), 0)
 
     @property
     def squared_radius(self) -> float:
@@ -66,12 +75,12 @@ class Index:
     `sample_per_list` the number of its lists (and so what is broadcast); beyond that, lists grow with the data and are
     compared in blocks of `block_rows`."""
 
-    list_rows: int = 800
+    list_rows: int = 500
     replicas: int = 3
     probes: int = 10
     replica_ratio: float = 1.2
     probe_ratio: float = 1.3
-    degree: int = 16
+    degree: int = 160
     sample_rows: int = 40_000
     sample_per_list: int = 8
     block_rows: int = 4000
@@ -92,54 +101,40 @@ class Lists:
         step = max(1, int(math.sqrt(len(self.centroids)) / 2))
         self.entries = np.arange(0, len(self.centroids), step)
 
-    def search(self, q: np.ndarray, wanted: int, beam: int = 24, expand: int = 4, hops: int = 12) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest centroids of each row by best-first search in the graph, all rows in step: (ids, squared distances)."""
+    def search(self, q: np.ndarray, wanted: int, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centroids of each row by a greedy walk in the graph: (ids, squared distances), nearest first.
+
+        Rows start at their nearest entry point. A step looks at all neighbours of the current centroid and moves to
+        the nearest; a row whose centroid has no nearer neighbour stops there. Rows at the same centroid step together,
+        so that each step is a few matrix products.
+        """
         m, n = len(self.centroids), len(q)
-        wanted, beam = min(wanted, m), min(max(beam, wanted), m)
-        norm = (q * q).sum(1)[:, None]
-        first = norm + self.norms[self.entries][None, :] - 2 * (q @ self.centroids[self.entries].T)
-        take = min(beam, len(self.entries))
-        best = np.argpartition(first, take - 1, axis=1)[:, :take]
-        ids = np.full((n, beam), -1)
-        dist = np.full((n, beam), np.inf, dtype=np.float32)
-        ids[:, :take], dist[:, :take] = self.entries[best], np.take_along_axis(first, best, 1)
-        done = ids < 0
+        wanted = min(wanted, m)
+        norm = (q * q).sum(1)
+        ids = np.full((n, wanted), -1)
+        dist = np.full((n, wanted), np.inf, dtype=np.float32)
+        now = self.entries[np.argmin(self.norms[self.entries][None, :] - 2 * (q @ self.centroids[self.entries].T), axis=1)]
         active = np.arange(n)
-        for _ in range(hops):
-            open_dist = np.where(done[active], np.inf, dist[active])
-            pick = np.argsort(open_dist, axis=1)[:, :expand]
-            reach = np.partition(dist[active], wanted - 1, axis=1)[:, wanted - 1]
-            going = np.take_along_axis(open_dist, pick[:, :1], 1)[:, 0] <= reach
-            going &= np.isfinite(np.take_along_axis(open_dist, pick[:, :1], 1)[:, 0])
-            active, pick = active[going], pick[going]
+        for _ in range(steps):
+            order = active[np.argsort(now[active], kind="stable")]
+            cuts = np.flatnonzero(np.diff(now[order])) + 1
+            moved = np.zeros(n, dtype=bool)
+            for rows in np.split(order, cuts):
+                at = now[rows[0]]
+                around = self.neighbours[at]
+                around = np.append(around[around >= 0], at)
+                d = norm[rows][:, None] + self.norms[around][None, :] - 2 * (q[rows] @ self.centroids[around].T)
+                take = min(wanted, len(around))
+                near = np.argpartition(d, take - 1, axis=1)[:, :take] if take < len(around) else np.tile(np.arange(take), (len(rows), 1))
+                near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1), 1)
+                ids[rows, :take] = around[near]
+                dist[rows, :take] = np.take_along_axis(d, near, 1)
+                moved[rows] = ids[rows, 0] != at
+                now[rows] = ids[rows, 0]
+            active = np.flatnonzero(moved)
             if not len(active):
                 break
-            a_ids, a_dist, a_done = ids[active], dist[active], done[active]
-            chosen = np.take_along_axis(a_ids, pick, 1)
-            np.put_along_axis(a_done, pick, True, 1)
-            new = self.neighbours[np.maximum(chosen, 0)]
-            new = np.where((chosen >= 0)[:, :, None], new, -1).reshape(len(active), -1)
-            vectors = self.centroids[np.maximum(new, 0)]
-            d = norm[active] + self.norms[np.maximum(new, 0)] - 2 * np.matmul(vectors, q[active][:, :, None])[:, :, 0]
-            d = np.where(new < 0, np.inf, d)
-            all_ids = np.concatenate([a_ids, new], 1)
-            all_dist = np.concatenate([a_dist, d], 1)
-            all_done = np.concatenate([a_done, np.zeros_like(new, dtype=bool)], 1)
-            # the copy that was seen first stands first in a stable sort by id and keeps its flag
-            by_id = np.argsort(all_ids, axis=1, kind="stable")
-            sorted_ids = np.take_along_axis(all_ids, by_id, 1)
-            again = np.zeros_like(sorted_ids, dtype=bool)
-            again[:, 1:] = sorted_ids[:, 1:] == sorted_ids[:, :-1]
-            repeated = np.zeros_like(again)
-            np.put_along_axis(repeated, by_id, again, 1)
-            all_dist = np.where(repeated | (all_ids < 0), np.inf, all_dist)
-            keep = np.argpartition(all_dist, beam - 1, axis=1)[:, :beam]
-            kept_dist = np.take_along_axis(all_dist, keep, 1)
-            dist[active] = kept_dist
-            ids[active] = np.where(np.isinf(kept_dist), -1, np.take_along_axis(all_ids, keep, 1))
-            done[active] = np.take_along_axis(all_done, keep, 1) | np.isinf(kept_dist)
-        order = np.argsort(dist, axis=1)[:, :wanted]
-        return np.take_along_axis(ids, order, 1), np.maximum(np.take_along_axis(dist, order, 1), 0)
+        return ids, np.maximum(dist, 0)
 
 
 def fit_lists(sample: np.ndarray, leaf: int, fraction: float, index: Index) -> pd.DataFrame:
@@ -177,8 +172,6 @@ def fit_lists(sample: np.ndarray, leaf: int, fraction: float, index: Index) -> p
         if degree:
             near = np.argpartition(d, degree - 1, axis=1)[:, :degree]
             neighbours[i : i + len(d), :degree] = near
-    # neighbours in the tree's order keep the graph connected
-    neighbours[:, -1] = (np.arange(m) + 1) % m if m > 1 else -1
     lists = Lists(centroids, neighbours, np.ones(m, dtype=np.int64))
     loads = np.zeros(m)
     for i in range(0, len(sample), 4096):
@@ -207,7 +200,7 @@ def _assign(spaces: list[Space], shared, index: Index):
         for batch in batches:
             of = batch.column("space").to_numpy()
             for s in np.unique(of):
-                for part in np.array_split(np.flatnonzero(of == s), max(1, (of == s).sum() // 512)):
+                for part in np.array_split(np.flatnonzero(of == s), max(1, (of == s).sum() // 8192)):
                     rows = batch.take(pa.array(part))
                     mine = lists[int(s)]
                     ids, squared = mine.search(spaces[s].decode(rows.column("payload")), index.probes)
@@ -261,19 +254,15 @@ def _compare(spaces: list[Space], k: int):
             for i in range(0, queries.num_rows, 1024):
                 part = queries.slice(i, 1024)
                 q_id = (part["major"].to_numpy(), part["minor"].to_numpy())
-                squared = space.squared(space.decode(part["payload"].combine_chunks()), x)
-                limit = np.full(len(squared), space.squared_radius)
-                if len(x) > k + 1:  # one more than k, for the query itself
-                    limit = np.minimum(limit, np.partition(squared, k, axis=1)[:, k])
-                r, c = np.nonzero(squared <= limit[:, None])
+                r, c, squared = space.within(space.decode(part["payload"].combine_chunks()), x, k)
                 other = (q_id[0][r] != x_id[0][c]) | (q_id[1][r] != x_id[1][c])
-                r, c = r[other], c[other]
-                order = np.lexsort((x_id[1][c], x_id[0][c], squared[r, c], r))
-                r, c = r[order], c[order]
+                r, c, squared = r[other], c[other], squared[other]
+                order = np.lexsort((x_id[1][c], x_id[0][c], squared, r))
+                r, c, squared = r[order], c[order], squared[order]
                 starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, dtype=np.int64)
                 place = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)]))
-                r, c = r[place < k], c[place < k]
-                out.append([q_id[0][r], q_id[1][r], space.distance(squared[r, c].astype(np.float64)), x_id[0][c], x_id[1][c]])
+                r, c, squared = r[place < k], c[place < k], squared[place < k]
+                out.append([q_id[0][r], q_id[1][r], space.distance(squared), x_id[0][c], x_id[1][c]])
         columns = [np.concatenate(parts) for parts in zip(*out, strict=True)] if out else [np.zeros(0)] * 5
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
         names = ["major", "minor", "distance", "other_major", "other_minor"]

@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,9 +65,12 @@ _SPACED = re.compile(r"(?<![^\W_])[^\W\d_]([ \t.\-_])(?:[^\W\d_]\1)+[^\W\d_](?![
 _INNER = re.compile(r"(?<=[^\W\d_])_(?=[^\W\d_]|\*)")
 _SENTENCES = re.compile(r"[.!?;:]+(?=\s|$)|[。！？\n\r]+")
 _WORD = re.compile(r"[^\W_]*[*$@€][\w*$@€]*|[^\W_]+")
+_SERIAL = re.compile(r"[a-z]{1,3}\d+")
+_MARKS = dict.fromkeys(map(ord, "!?*#$@%&_-."))
 _SEPARATORS = re.compile(r"[ \t.\-_*]+")
 
 
+@lru_cache(maxsize=1 << 18)
 def word_key(word: str) -> str:
     """What is left of a word under repetition, transposition, signs for letters and stars."""
     if word.isdigit() or re.fullmatch(r"[a-z]{1,3}\d{3,}", word):
@@ -88,15 +92,21 @@ def _repaired(match: re.Match) -> str:
 
 def fold(text: str) -> tuple[list[list[str]], dict[str, float]]:
     """Sentences as lists of word keys, and what the disguises and the typography were."""
-    plain = _TWICE_ENCODED.sub(_repaired, html.unescape(_TAGS.sub(" ", text)))
-    letters = sum(c.isalpha() for c in plain)
-    upper = sum(c.isupper() for c in plain)
-    visible = "".join(c for c in unicodedata.normalize("NFKC", plain) if unicodedata.category(c) != "Cf")
-    disguised = len(unicodedata.normalize("NFKC", plain)) - len(visible)
-    lower = visible.lower()
-    latin = lower.translate(LOOKALIKES) if re.search("[a-z]", lower) else lower
-    disguised += sum(a != b for a, b in zip(lower, latin, strict=True))
-    bare = "".join(c for c in unicodedata.normalize("NFD", latin) if not unicodedata.combining(c))
+    plain = _TAGS.sub(" ", text) if "<" in text else text
+    plain = html.unescape(plain) if "&" in plain else plain
+    plain = plain if plain.isascii() else _TWICE_ENCODED.sub(_repaired, plain)
+    letters, upper, disguised = sum(map(str.isalpha, plain)), sum(map(str.isupper, plain)), 0
+    if plain.isascii():
+        visible, bare = plain, plain.lower()
+    else:
+        composed = unicodedata.normalize("NFKC", plain)
+        visible = "".join(c for c in composed if c.isascii() or unicodedata.category(c) != "Cf")
+        disguised += len(composed) - len(visible)
+        lower = visible.lower()
+        latin = lower.translate(LOOKALIKES) if re.search("[a-z]", lower) else lower
+        if latin != lower:
+            disguised += sum(map(str.__ne__, lower, latin))
+        bare = "".join(c for c in unicodedata.normalize("NFD", latin) if c.isascii() or not unicodedata.combining(c))
     joined = _SPACED.sub(lambda m: _SEPARATORS.sub("", m.group()), bare)
     disguised += len(bare) - len(joined)
     joined, inner = _INNER.subn("", joined)
@@ -105,29 +115,35 @@ def fold(text: str) -> tuple[list[list[str]], dict[str, float]]:
     for part in _SENTENCES.split(joined):
         keys = []
         for word in _WORD.findall(part):
-            if not any(c.isalnum() for c in word):
-                starred += word.count("*")
-                continue
-            starred += "*" in word
-            disguised += not word.isalnum() or (not word.isalpha() and not word.isdigit() and not re.fullmatch(r"[a-z]{1,3}\d+", word))
+            if not word.isalpha():
+                if not any(map(str.isalnum, word)):
+                    starred += word.count("*")
+                    continue
+                starred += "*" in word
+                disguised += not word.isalnum() or not (word.isdigit() or _SERIAL.fullmatch(word))
             keys.append(word_key(word))
         if keys:
             sentences.append(keys)
-    for raw in _SENTENCES.split(visible):
-        caps = sum(c.isupper() for c in raw)
-        shouting += caps > 8 and caps > 0.7 * sum(c.isalpha() for c in raw)
+    for raw in _SENTENCES.split(visible) if upper > 8 else ():
+        caps = sum(map(str.isupper, raw))
+        shouting += caps > 8 and caps > 0.7 * sum(map(str.isalpha, raw))
     n = max(1, len(text))
     return sentences, {
         "capitals": upper / max(1, letters),
         "shouting": float(shouting),
-        "punctuation": sum(c in "!?*#$@%&_-." for c in text) / n,
+        "punctuation": (len(text) - len(text.translate(_MARKS))) / n,
         "exclamations": float(text.count("!")),
         "disguised": disguised / max(1, sum(map(len, sentences))),
         "starred": float(starred),
     }
 
 
-_KINDS = {kind: {word_key(w) for w in words.split()} for kind, words in WORDS.items()}
+#: The kinds that each word key belongs to.
+_KINDS_OF: dict[str, tuple[str, ...]] = {}
+for _kind, _list in WORDS.items():
+    for _key in {word_key(w) for w in _list.split()}:
+        _KINDS_OF[_key] = (*_KINDS_OF.get(_key, ()), _kind)
+_COUNTED = ("slur", "insult", "threat", "hate", "sexual")
 
 
 def terms(keys: list[str]) -> Iterator[str]:
@@ -148,29 +164,34 @@ def dense_features(text: str | None, weights: dict[str, float]) -> list[float]:
     f = dict.fromkeys(FEATURES, 0.0) | typed
     sums: list[float] = []
     second = 0
-    totals = dict.fromkeys(_KINDS, 0)
+    totals = dict.fromkeys(_COUNTED, 0)
     for keys in sentences:
         found = [w for t in set(terms(keys)) if (w := weights.get(t)) is not None]
         sums.append(sum(found))
-        f["learned_peak"] = max(f["learned_peak"], max(found, default=0.0))
-        f["learned_terms"] = max(f["learned_terms"], float(len(found)))
-        you = [i for i, k in enumerate(keys) if k in _KINDS["second"]]
+        if found:
+            f["learned_peak"] = max(f["learned_peak"], max(found))
+            f["learned_terms"] = max(f["learned_terms"], float(len(found)))
+        places: dict[str, list[int]] = {}
+        for i, key in enumerate(keys):
+            for kind in _KINDS_OF.get(key, ()):
+                places.setdefault(kind, []).append(i)
+        if not places:
+            continue
+        you, own = places.get("second", []), places.get("first", [])
         second += len(you)
-        rude = [k in _KINDS["slur"] or k in _KINDS["insult"] for k in keys]
-        f["insult_pair"] = max(f["insult_pair"], float(sum(x and y for x, y in zip(rude, rude[1:], strict=False))))
-        for kind, words in _KINDS.items():
-            if kind in ("first", "second"):
+        rude = {*places.get("slur", []), *places.get("insult", [])}
+        f["insult_pair"] = max(f["insult_pair"], float(sum(i + 1 in rude for i in rude)))
+        if own and rude:
+            f["near_first"] = max(f["near_first"], 1.0 / min(abs(i - j) + 1 for i in own for j in rude))
+        for kind in _COUNTED:
+            at = places.get(kind)
+            if not at:
                 continue
-            places = [i for i, k in enumerate(keys) if k in words]
-            totals[kind] += len(places)
-            f[f"{kind}_sentence"] = max(f[f"{kind}_sentence"], len(places) / math.sqrt(len(keys)))
-            if you and places:
-                f["near_second"] = max(f["near_second"], 1.0 / min(abs(i - j) + 1 for i in you for j in places))
-            if kind in ("slur", "insult") and places:
-                own = [i for i, k in enumerate(keys) if k in _KINDS["first"]]
-                if own:
-                    f["near_first"] = max(f["near_first"], 1.0 / min(abs(i - j) + 1 for i in own for j in places))
-    for kind in ("slur", "insult", "threat", "hate", "sexual"):
+            totals[kind] += len(at)
+            f[f"{kind}_sentence"] = max(f[f"{kind}_sentence"], len(at) / math.sqrt(len(keys)))
+            if you:
+                f["near_second"] = max(f["near_second"], 1.0 / min(abs(i - j) + 1 for i in you for j in at))
+    for kind in _COUNTED:
         f[f"{kind}_density"] = totals[kind] / tokens
     sums.sort(reverse=True)
     f["learned_top"] = sums[0]

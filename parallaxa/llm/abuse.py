@@ -13,7 +13,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,9 +69,20 @@ _MARKS = dict.fromkeys(map(ord, "!?*#$@%&_-."))
 _SEPARATORS = re.compile(r"[ \t.\-_*]+")
 
 
-@lru_cache(maxsize=1 << 18)
+_KEYS: dict[str, str] = {}
+
+
 def word_key(word: str) -> str:
-    """What is left of a word under repetition, transposition, signs for letters and stars."""
+    """What is left of a word under repetition, transposition, signs for letters and stars; remembered for a while."""
+    key = _KEYS.get(word)
+    if key is None:
+        if len(_KEYS) >= 1 << 18:
+            _KEYS.clear()
+        key = _KEYS[word] = _key_of(word)
+    return key
+
+
+def _key_of(word: str) -> str:
     if word.isdigit() or re.fullmatch(r"[a-z]{1,3}\d{3,}", word):
         return "0"
     if "*" in word:

@@ -2,7 +2,8 @@
 
 Texts are first folded to what a reader sees through disguises: look-alike letters, digits for letters, invisible or
 separating signs inside words, drawn-out and transposed letters. A word becomes its first letter and the set of its
-other letters, which repetition and transposition leave alone.
+other letters, which repetition and transposition leave alone. Japanese and Chinese have no blanks between words: there,
+known words are found inside runs of letters, and every other character stands for itself.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,8 @@ WORDS = {
     "second": """you your yours yourself u ur du dir dich dein deine euch ihr tu te toi ton ta tes vous votre ti tus
         vosotros usted ustedes voce teu tua seu あなた お前""",
 }
+#: Harmless Japanese words that contain one of these.
+HARMLESS = "バカンス バカラ 木クズ 糸クズ パンクズ 裸足 裸眼 裸電球 私立 私物 私服"
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans("аеорсхуіѕјԁһԛмтвкнгαεοικρτυνωıɑ", "aeopcxyisjdhqmtbkhraeoikptuvwia")
 #: Signs that stand for letters inside a word.
@@ -67,6 +71,8 @@ _WORD = re.compile(r"[^\W_]*[*$@€][\w*$@€]*|[^\W_]+")
 _SERIAL = re.compile(r"[a-z]{1,3}\d+")
 _MARKS = dict.fromkeys(map(ord, "!?*#$@%&_-."))
 _SEPARATORS = re.compile(r"[ \t.\-_*]+")
+_VOICED = re.compile("[\u3041-\u30ff][\u3099\u309a]")
+_BLANKLESS = re.compile("[\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]")
 
 
 _KEYS: dict[str, str] = {}
@@ -100,6 +106,17 @@ def _repaired(match: re.Match) -> str:
         return match.group()
 
 
+def _unaccented(text: str) -> str:
+    """Without combining marks, except the voicing marks of kana, which make other letters."""
+    kept = (c for c in unicodedata.normalize("NFD", text) if c.isascii() or not unicodedata.combining(c) or c in "\u3099\u309a")
+    voiced = _VOICED.sub(lambda m: unicodedata.normalize("NFC", m.group()), "".join(kept))
+    return voiced.replace("\u3099", "").replace("\u309a", "")
+
+
+_LISTED = {_unaccented(w) for words in (*WORDS.values(), HARMLESS) for w in words.split() if _BLANKLESS.match(w)}
+_PIECE = re.compile("|".join([*sorted(_LISTED, key=lambda w: (-len(w), w)), _BLANKLESS.pattern, _BLANKLESS.pattern.replace("[", "[^") + "+"]))
+
+
 def fold(text: str) -> tuple[list[list[str]], dict[str, float]]:
     """Sentences as lists of word keys, and what the disguises and the typography were."""
     plain = _TAGS.sub(" ", text) if "<" in text else text
@@ -116,15 +133,16 @@ def fold(text: str) -> tuple[list[list[str]], dict[str, float]]:
         latin = lower.translate(LOOKALIKES) if re.search("[a-z]", lower) else lower
         if latin != lower:
             disguised += sum(map(str.__ne__, lower, latin))
-        bare = "".join(c for c in unicodedata.normalize("NFD", latin) if c.isascii() or not unicodedata.combining(c))
+        bare = _unaccented(latin)
     joined = _SPACED.sub(lambda m: _SEPARATORS.sub("", m.group()), bare)
     disguised += len(bare) - len(joined)
     joined, inner = _INNER.subn("", joined)
     disguised += inner
     sentences, starred, shouting = [], 0, 0
+    blankless = not joined.isascii() and _BLANKLESS.search(joined) is not None
     for part in _SENTENCES.split(joined):
         keys = []
-        for word in _WORD.findall(part):
+        for word in _WORD.findall(part) if not blankless else [p for w in _WORD.findall(part) for p in _PIECE.findall(w)]:
             if not word.isalpha():
                 if not any(map(str.isalnum, word)):
                     starred += word.count("*")
@@ -151,7 +169,7 @@ def fold(text: str) -> tuple[list[list[str]], dict[str, float]]:
 #: The kinds that each word key belongs to.
 _KINDS_OF: dict[str, tuple[str, ...]] = {}
 for _kind, _list in WORDS.items():
-    for _key in {word_key(w) for w in _list.split()}:
+    for _key in {word_key(_unaccented(w)) for w in _list.split()}:
         _KINDS_OF[_key] = (*_KINDS_OF.get(_key, ()), _kind)
 _COUNTED = ("slur", "insult", "threat", "hate", "sexual")
 
@@ -165,12 +183,19 @@ def terms(keys: list[str]) -> Iterator[str]:
         yield f"{keys[i]} {keys[i + 1]} {keys[i + 2]}"
 
 
+def _places(keys: list[str]) -> tuple[list[float], float]:
+    """Where each word key of a sentence stands, and the sentence's length: two lone characters count as one word."""
+    steps = [0.5 if len(k) == 1 and not k.isascii() and k not in _KINDS_OF and _BLANKLESS.match(k) else 1.0 for k in keys]
+    ends = list(accumulate(steps))
+    return [e - s for e, s in zip(ends, steps, strict=True)], max(1.0, ends[-1])
+
+
 def dense_features(text: str | None, weights: dict[str, float]) -> list[float]:
     """The values of FEATURES; all zero for null texts and texts without words."""
     sentences, typed = fold(text) if text else ([], {})
     if not sentences:
         return [0.0] * len(FEATURES)
-    tokens = sum(map(len, sentences))
+    tokens = 0.0
     f = dict.fromkeys(FEATURES, 0.0) | typed
     sums: list[float] = []
     second = 0
@@ -181,8 +206,10 @@ def dense_features(text: str | None, weights: dict[str, float]) -> list[float]:
         if found:
             f["learned_peak"] = max(f["learned_peak"], max(found))
             f["learned_terms"] = max(f["learned_terms"], float(len(found)))
-        places: dict[str, list[int]] = {}
-        for i, key in enumerate(keys):
+        at_key, length = (range(len(keys)), len(keys)) if all(map(str.isascii, keys)) else _places(keys)
+        tokens += length
+        places: dict[str, list[float]] = {}
+        for i, key in zip(at_key, keys, strict=True):
             for kind in _KINDS_OF.get(key, ()):
                 places.setdefault(kind, []).append(i)
         if not places:
@@ -198,7 +225,7 @@ def dense_features(text: str | None, weights: dict[str, float]) -> list[float]:
             if not at:
                 continue
             totals[kind] += len(at)
-            f[f"{kind}_sentence"] = max(f[f"{kind}_sentence"], len(at) / math.sqrt(len(keys)))
+            f[f"{kind}_sentence"] = max(f[f"{kind}_sentence"], len(at) / math.sqrt(length))
             if you:
                 f["near_second"] = max(f["near_second"], 1.0 / min(abs(i - j) + 1 for i in you for j in at))
     for kind in _COUNTED:

@@ -1,6 +1,6 @@
 import random
 
-from parallaxa.llm.abuse import AbuseModel, dense_features, fold, score_texts, word_key
+from parallaxa.llm.abuse import FEATURES, AbuseModel, dense_features, fold, score_texts, terms, word_key
 
 SMALL = AbuseModel(trees=8, depth=3)
 GOOD = ["The strap is solid and the box was neat", "Nothing rattles after 5 weeks", "Your lens works at night", "My rat likes the cage"]
@@ -19,6 +19,35 @@ def test_features_of_nothing():
     assert len(dense_features("x " * 200_000, {})) == len(dense_features("", {}))
 
 
+def test_words_of_running_japanese():
+    at = {n: i for i, n in enumerate(FEATURES)}
+    for text, kind in (
+        ("お前は本当にバカだ。", "slur"), ("おまえらはみんなクズ野郎だ", "slur"), ("ﾊﾞｶは黙れ", "slur"), ("お前は馬鹿だ", "slur"), ("さっさと死ねよ", "threat"),
+        ("外国人は出て行け", "hate"), ("セックスしようよ", "sexual"), ("ハ\u3099カめ", "slur"), ("you馬鹿", "slur"),
+    ):
+        found = dense_features(text, {})
+        assert found[at[f"{kind}_density"]] > 0 and found[at[f"{kind}_sentence"]] > 0, text
+    assert dense_features("お前は本当にバカだ。", {})[at["near_second"]] >= 0.25
+    assert dense_features("あなたの三脚", {})[at["second_density"]] > 0
+    for text in ("バカンスに持って行きました。", "裸足で使えます。", "ハカセの三脚は5週間で届きました。", "クスリ", "カメラのボタン"):
+        found = dense_features(text, {})
+        assert not any(found[at[f"{kind}_sentence"]] for kind in ("slur", "insult", "threat", "hate", "sexual")), text
+        assert found[at["disguised"]] == 0, text
+
+
+def test_terms_inside_running_japanese():
+    learned = set(terms(fold("お前の顔はゲロだ")[0][0]))
+    shared = learned & set(terms(fold("やっぱりゲロだと思う")[0][0]))
+    assert "ゲ ロ" in shared and "ゲ ロ だ" in shared
+    assert fold("Привет, 你好")[0] == [[word_key("привет"), "你", "好"]]
+
+
+def test_japanese_without_judgements(spark):
+    d = spark.createDataFrame([(1, "お前は本当にバカだ"), (2, "この三脚は丈夫です"), (3, "死ね")], "doc_id bigint, text string")
+    lab = spark.createDataFrame([], "doc_id bigint, annotator_id int, abusive boolean")
+    assert {r.doc_id: r.abusive for r in score_texts(d, lab).rows.collect()} == {1: True, 2: False, 3: True}
+
+
 def corpus(n):
     rnd = random.Random(6)
     docs, truth = [], {}

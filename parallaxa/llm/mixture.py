@@ -159,12 +159,22 @@ def whole_copies(rated: DataFrame) -> Cut:
     return result
 
 
+def _cap(repeats: list[int]) -> Column:
+    """The repeats of the likeliest named source (the fewest of equally likely ones); 0 where no named source is possible."""
+    if not repeats:
+        return F.lit(0.0)
+    sides = [F.struct(F.col("membership")[i].alias("p"), F.lit(-float(c)).alias("c")) for i, c in enumerate(repeats)]
+    likeliest = F.array_max(F.array(*sides))
+    return F.when(likeliest["p"] > 0, -likeliest["c"]).otherwise(0.0)
+
+
 def mix(documents: DataFrame, weights: DataFrame, model: MixModel | None = None) -> Mixture:
     """Copies of documents such that the sources of `weights` reach their target shares of all tokens.
 
     `documents`: doc_id, source, text; `weights`: source, target_weight, max_repeats. Sources must be spelled alike.
     Repeated doc_ids are separate records. Documents of sources without a weight are left out. Documents with a null
-    source take part by their posterior over the sources, at most as often as their expected cap allows. Null, empty
+    source take part by their posterior over the sources, at most as often as the likeliest source with a weight allows;
+    how likely they are of none of these lowers their rate, not their cap. Null, empty
     and tokenless texts get no copies. The total is the largest for which no source needs more than its max_repeats;
     a source without documents can't be reached, and the others keep their proportions. Rates become whole copies by
     systematic rounding along the documents of a source in order of length, so that its tokens come out right too.
@@ -189,10 +199,7 @@ def mix(documents: DataFrame, weights: DataFrame, model: MixModel | None = None)
         "counted",
     )
     posteriors = domain_posteriors(counted.df, domains, model)
-    caps = F.array(*[F.lit(float(c)) for _, _, c in asked], F.lit(0.0))
-    rows = cut(
-        posteriors.withColumn("cap", F.floor(_dot(F.col("membership"), caps) + 1e-9).cast("double")).where("tokens > 0"), "members"
-    )
+    rows = cut(posteriors.withColumn("cap", _cap([c for _, _, c in asked])).where("tokens > 0"), "members")
     m, t = F.col("membership"), F.col("tokens").cast("double")
     # what each source could give: its sure and its expected tokens under their caps
     room = rows.df.agg(*[F.sum(t * m[i] * F.col("cap")).alias(f"r{i}") for i in range(len(domains))]).head()

@@ -40,6 +40,22 @@ def test_shares_caps_and_unknown_sources(spark):
     assert sum(r.copies for r in unknown) > 0  # told apart by their words
 
 
+def test_unknown_sources_take_part_when_nothing_repeats(spark):
+    rnd = random.Random(10)
+    words = {"a": "red green blue cyan", "b": "cat dog cow hen", "z": "none of those"}
+    docs, i = [], 0
+    for s, n in (("a", 200), ("b", 50), ("z", 50)):
+        for _ in range(n):
+            docs.append((i, s, " ".join(rnd.choice(words[s].split()) for _ in range(rnd.randrange(5, 20)))))
+            i += 1
+    docs += [(i + k, None, "cat cow dog hen cat hen cow") for k in range(40)]
+    copies, shares = run(spark, docs, [("a", 50.0, 1), ("b", 50.0, 1)])
+    unknown = [r.copies for r in copies if r.source is None]
+    assert max(r.copies for r in copies) == 1 and sum(unknown) >= 36  # b is scarce, and these are b by their words
+    assert all(r.source != "z" for r in copies if r.copies)
+    assert shares["b"].expected_share == pytest.approx(0.5, abs=0.02)
+
+
 def test_no_documents_one_source_and_no_weights(spark):
     assert run(spark, [], [("a", 1.0, 1)])[0] == []
     copies, shares = run(spark, [(1, "a", "x y"), (1, "a", "x y")], [("a", 1.0, 2), ("a", 1.0, 2)])

@@ -27,16 +27,38 @@ FROM {_VALID} m JOIN (SELECT DISTINCT match_result_id, feature_set_id_a, feature
 WHERE m.distance >= 0 AND m.feature_index_a BETWEEN 0 AND 8191 AND m.feature_index_b BETWEEN 0 AND 8191""",
 )
 def s11(spark, sf_dir):
-    """Every result's entries as a match file, decoded again."""
+    """Every result's entries as match files, decoded again; what no file can hold is in s11_match_file_problems."""
+    back = _decoded(_match_rows(spark, sf_dir)).where("problem is null").drop("problem")
+    return back.withColumn("distance", F.round(F.col("distance").cast("double"), 4))
+
+
+_FITS = "distance >= 0 and ia between 0 and 8191 and ib between 0 and 8191"
+
+
+def _match_rows(spark, sf_dir):
     results = match_results(spark, sf_dir, "match_result_id", "feature_set_id_a", "feature_set_id_b", "result_status").where("result_status = 1 and feature_set_id_a <> feature_set_id_b")
-    rows = valid_matches(spark, sf_dir).where("distance >= 0 and feature_index_a between 0 and 8191 and feature_index_b between 0 and 8191")
-    rows = rows.join(results, "match_result_id").select(
+    return valid_matches(spark, sf_dir).join(results, "match_result_id").select(
         "match_result_id", F.col("feature_set_id_a").alias("a"), F.col("feature_set_id_b").alias("b"), F.lit(1).alias("kind"),
         "entry_index", F.col("feature_index_a").alias("ia"), F.col("feature_index_b").alias("ib"), "distance",
     )
-    files = encode_matches(rows, "match_result_id")
-    back = decode_matches(files, "match_result_id").where("problem is null").drop("problem")
-    return back.withColumn("distance", F.round(F.col("distance").cast("double"), 4))
+
+
+def _decoded(rows):
+    return decode_matches(encode_matches(rows.where(_FITS), "match_result_id"), "match_result_id")
+
+
+@REGISTRY.query(
+    "s11_match_file_problems",
+    f"""SELECT m.match_result_id, 'ENTRY' AS problem, count(*) AS rows
+FROM {_VALID} m JOIN (SELECT DISTINCT match_result_id, feature_set_id_a, feature_set_id_b FROM match_results WHERE result_status = 1 AND feature_set_id_a <> feature_set_id_b) r USING (match_result_id)
+WHERE NOT (m.distance >= 0 AND m.feature_index_a BETWEEN 0 AND 8191 AND m.feature_index_b BETWEEN 0 AND 8191) GROUP BY 1""",
+)
+def s11_problems(spark, sf_dir):
+    """Entries that the format has no room for, and files that don't decode, counted for each result."""
+    rows = _match_rows(spark, sf_dir)
+    refused = rows.where(f"not ({_FITS})").select("match_result_id", F.lit("ENTRY").alias("problem"))
+    broken = _decoded(rows).where("problem is not null").select("match_result_id", "problem")
+    return refused.unionByName(broken).groupBy("match_result_id", "problem").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @REGISTRY.query("s16_manifest", "SELECT c_name AS filename, c_custkey AS size FROM customer")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parallaxa.operators.prefix import prefix_sum
+
 # Fixed values of the formats: little-endian layouts, magics, sizes and bounds.
 MATCH_MAGIC = b"L3DM"
 MATCH_HEADER = np.dtype(
@@ -50,28 +52,38 @@ def match_problem(content: bytes) -> str | None:
 
 
 def encode_matches(entries: DataFrame, key: str) -> DataFrame:
-    """(key, content): one match file of each key from rows (key, a, b, kind, entry_index, ia, ib, distance)."""
+    """(key, part, content): the match files of each key from rows (key, a, b, kind, entry_index, ia, ib, distance).
+
+    A file holds at most MOST_MATCHES entries, so a key has as many parts as it takes, the entries in order.
+    """
+    unique = entries.withColumn("__copy", F.monotonically_increasing_id()).withColumn("__one", F.lit(1))
+    placed, _ = prefix_sum(unique, [key], ["entry_index", "ia", "ib", "distance", "__copy"], "__one", "__place")
+    parts = placed.withColumn("part", F.expr(f"__place div {MOST_MATCHES}").cast("bigint")).drop("__copy", "__one")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("entry_index")
+        pdf = pdf.sort_values("__place")
         rows = np.zeros(len(pdf), dtype=MATCH_ENTRY)
         for n in MATCH_ENTRY.names:
             rows[n] = pdf[n]
         first = pdf.iloc[0]
-        return pd.DataFrame({key: [first[key]], "content": [match_bytes(int(first["a"]), int(first["b"]), int(first["kind"]), rows)]})
+        content = match_bytes(int(first["a"]), int(first["b"]), int(first["kind"]), rows)
+        return pd.DataFrame({key: [first[key]], "part": [first["part"]], "content": [content]})
 
-    return entries.groupBy(key).applyInPandas(pack, f"{key} bigint, content binary")
+    return parts.groupBy(key, "part").applyInPandas(pack, f"{key} bigint, part bigint, content binary")
 
 
 def decode_matches(files: DataFrame, key: str) -> DataFrame:
     """(key, problem, a, b, entry_index, ia, ib, distance) from rows (key, content).
 
     A file with a problem gives one row that names it; an empty match file gives none; null content is a SIZE problem.
+    Where the rows have a `part` too, entries are numbered through the parts of a key.
     """
+    columns = [key, F.col("part") if "part" in files.columns else F.lit(0).cast("bigint").alias("part"), "content"]
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, problems, sides, sizes, entries = [], [], [], [], []
+            firsts = np.array(batch.column("part").to_pylist(), dtype=np.int64) * MOST_MATCHES
             for k, content in zip(batch.column(key).to_pylist(), batch.column("content").to_pylist(), strict=True):
                 content = content or b""
                 problem = match_problem(content)
@@ -93,14 +105,14 @@ def decode_matches(files: DataFrame, key: str) -> DataFrame:
                     pa.array(problems, pa.string()).take(pa.array(file_no)),
                     pa.array(both[:, 0]),
                     pa.array(both[:, 1]),
-                    pa.array(np.arange(len(rows)) - starts),
+                    pa.array(np.arange(len(rows)) - starts + firsts[file_no]),
                     *[pa.array(rows[n].astype(t)) for n, t in (("ia", np.int64), ("ib", np.int64), ("distance", np.float32))],
                 ],
                 names=[key, "problem", "a", "b", "entry_index", "ia", "ib", "distance"],
             )
 
     schema = f"{key} bigint, problem string, a bigint, b bigint, entry_index bigint, ia bigint, ib bigint, distance float"
-    return files.select(key, "content").mapInArrow(unpack, schema)
+    return files.select(*columns).mapInArrow(unpack, schema)
 
 
 def feature_rows(content: bytes) -> pd.DataFrame | None:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parallaxa.sources.binary import KEYPOINT, MATCH_ENTRY, decode_matches, discover, match_bytes, read_feature_files
+from parallaxa.sources.binary import KEYPOINT, MATCH_ENTRY, MOST_MATCHES, decode_matches, discover, encode_matches, match_bytes, read_feature_files
 from parallaxa.sources.text import export_reconstruction, ply_vertex_count, read_manifest, write_manifest, write_report
 
 
@@ -24,6 +24,18 @@ def test_match_files(spark):
     assert len({r.k for r in got if r.k >= 100}) == 16
 
 
+def test_match_files_of_many_entries(spark):
+    n = 2 * MOST_MATCHES + 5
+    rows = spark.range(n).selectExpr("1L as k", "10L as a", "20L as b", "1 as kind", "id * 3 as entry_index", "id % 8192 as ia", "id % 7 as ib", "float(id) as distance")
+    rows = rows.unionByName(rows.limit(3).withColumn("k", F.lit(2).cast("bigint")))
+    files = encode_matches(rows, "k")
+    assert sorted(files.groupBy("k").count().collect()) == [(1, 3), (2, 1)]
+    got = decode_matches(files, "k")
+    assert got.where("problem is not null").count() == 0
+    one = got.where("k = 1").orderBy("entry_index").collect()
+    assert [(r.entry_index, r.ia, r.distance) for r in one] == [(i, i % 8192, float(i)) for i in range(n)]
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_feature_files(spark, tmp_path, version):
     n, dim, size = 3, 32 if version == 1 else 128, 160 if version == 1 else 176

@@ -8,7 +8,7 @@ from parallaxa.catalog.relational import feature_sets, match_results
 from parallaxa.catalog.statistics import _VALID, valid_matches
 from parallaxa.functions.bits import pack_bits, set_bits
 from parallaxa.operators.components import accepted_tracks, components
-from parallaxa.operators.integrity import all_checks, duplicate_keys, orphans, rule_violations, underconstrained
+from parallaxa.operators.integrity import all_checks, duplicate_keys, orphans, rule_violations, structural_mask, underconstrained
 from parallaxa.plans.registry import Registry
 from parallaxa.plans.tables import table
 
@@ -90,6 +90,28 @@ def g06(spark, sf_dir):
     return underconstrained(rows, "component", "camera", "landmark")
 
 
+@REGISTRY.query(
+    "g06_structural_mask",
+    """WITH RECURSIVE o AS (SELECT l_suppkey AS g, l_orderkey AS c, l_partkey AS l FROM lineitem WHERE l_suppkey IS NOT NULL AND l_orderkey IS NOT NULL AND l_partkey IS NOT NULL),
+e AS (SELECT DISTINCT g, c, l FROM o),
+k AS (SELECT DISTINCT a.g, a.c AS u, b.c AS v FROM e a JOIN e b ON a.g = b.g AND a.l = b.l),
+reach AS (SELECT g, min(c) AS v FROM e GROUP BY 1 UNION SELECT k.g, k.v FROM reach r JOIN k ON k.g = r.g AND k.u = r.v),
+cams AS (SELECT g, c, count(*) AS seen, c = min(c) OVER (PARTITION BY g) AS anchor FROM e GROUP BY g, c),
+lmks AS (SELECT g, l, count(*) AS seen FROM e GROUP BY g, l),
+n AS (SELECT g, count(*) AS observations FROM o GROUP BY 1),
+a AS (SELECT g, count(*) AS cameras, count(*) FILTER (seen < 3 AND NOT anchor) AS weak FROM cams GROUP BY 1),
+b AS (SELECT g, count(*) AS landmarks, count(*) FILTER (seen < 2) AS weak FROM lmks GROUP BY 1),
+r AS (SELECT g, count(*) AS reached FROM reach GROUP BY 1)
+SELECT g AS component, cameras, landmarks, observations,
+  (2 * observations < 6 * cameras + 3 * landmarks - 7)::INT + 2 * (b.weak > 0)::INT + 4 * (a.weak > 0)::INT + 8 * (reached < cameras)::INT AS mask
+FROM a JOIN b USING (g) JOIN n USING (g) JOIN r USING (g)""",
+)
+def g06_structural(spark, sf_dir):
+    """The mask of g06_underconstrained by distinct edges, with the anchor left out and parts that nothing connects."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("component"), F.col("l_orderkey").alias("camera"), F.col("l_partkey").alias("landmark"))
+    return structural_mask(rows, "component", "camera", "landmark")
+
+
 @REGISTRY.query(
     "q01_component_keys",
     f"""WITH RECURSIVE e AS ({_SET_EDGES}), l AS (SELECT u, v FROM e UNION SELECT v, u FROM e),

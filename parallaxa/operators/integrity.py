@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parallaxa.operators.components import components
+from parallaxa.plans.lineage import cut
+
 
 def rule_violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """(rule, violations) of row rules, all in one pass; a null outcome is no violation."""
@@ -44,3 +47,41 @@ def underconstrained(observations: DataFrame, component: str, camera: str, landm
     dof = 2 * F.col("observations") < 6 * F.col("cameras") + 3 * F.col("landmarks") - 7
     mask = dof.cast("int") + 2 * (F.col("weakest_landmark") < 2).cast("int") + 4 * (F.col("weakest_camera") < 3).cast("int")
     return cameras.join(landmarks, component).select(component, "cameras", "landmarks", "observations", mask.alias("mask"))
+
+
+def structural_mask(observations: DataFrame, component: str, camera: str, landmark: str) -> DataFrame:
+    """(component, cameras, landmarks, observations, mask): bit 0 too few equations (2 obs < 6 cam + 3 lmk - 7), bit 1 a
+    landmark seen by fewer than two cameras, bit 2 a camera that sees fewer than three landmarks, the anchor (the
+    smallest camera) excepted, bit 3 parts that nothing connects. Repeated observations count for bit 0 only."""
+    o = observations.select(F.col(component).alias("g"), F.col(camera).alias("c"), F.col(landmark).alias("l")).dropna()
+    edges = o.groupBy("g", "c", "l").agg(F.count(F.lit(1)).alias("n"))
+    cameras = edges.groupBy("g", "c").agg(F.count(F.lit(1)).alias("seen"), F.sum("n").alias("n"))
+    landmarks = edges.groupBy("g", "l").agg(F.count(F.lit(1)).alias("seen"))
+    # an edge joins the number of its camera with that of its landmark; numbers are given once and written
+    sides = cameras.select("g", F.lit(0).alias("side"), F.col("c").alias("x"), "seen", "n").unionByName(
+        landmarks.select("g", F.lit(1).alias("side"), F.col("l").alias("x"), "seen", F.lit(0).cast("bigint").alias("n"))
+    )
+    vertices = cut(sides.withColumn("v", F.monotonically_increasing_id()), "vertices").df
+    of_c = vertices.where("side = 0").select("g", F.col("x").alias("c"), F.col("v").alias("u"))
+    of_l = vertices.where("side = 1").select("g", F.col("x").alias("l"), "v")
+    parts = components(edges.join(of_c, ["g", "c"]).join(of_l, ["g", "l"]).select("u", "v"))
+    anchors = cameras.groupBy("g").agg(F.min("c").alias("anchor"))
+    is_camera = F.col("side") == 0
+    found = (
+        vertices.join(parts, "v")
+        .join(anchors, "g")
+        .groupBy("g")
+        .agg(
+            F.count_if(is_camera).alias("cameras"),
+            F.count_if(~is_camera).alias("landmarks"),
+            F.sum("n").alias("observations"),
+            F.min(F.when(~is_camera, F.col("seen"))).alias("weakest_landmark"),
+            F.min(F.when(is_camera & (F.col("x") != F.col("anchor")), F.col("seen"))).alias("weakest_camera"),
+            (F.min("low") != F.max("low")).alias("apart"),
+        )
+    )
+    weak = F.coalesce(F.col("weakest_camera") < 3, F.lit(False))
+    dof = 2 * F.col("observations") < 6 * F.col("cameras") + 3 * F.col("landmarks") - 7
+    bits = [dof, F.col("weakest_landmark") < 2, weak, F.col("apart")]
+    mask = reduce(Column.__add__, [b.cast("int") * (1 << i) for i, b in enumerate(bits)])
+    return found.select(F.col("g").alias(component), "cameras", "landmarks", "observations", mask.alias("mask"))

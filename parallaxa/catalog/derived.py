@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from parallaxa.catalog.relational import feature_sets, match_results
 from parallaxa.catalog.statistics import _VALID, valid_matches
-from parallaxa.catalog.tracks import _NODE_EDGES, track_members
+from parallaxa.catalog.tracks import _TRACKS, track_members
 from parallaxa.functions.classify import graded, pair_evidence, seed_of
 from parallaxa.functions.text import human_size, pressure_basis_points
 from parallaxa.operators.components import components
 from parallaxa.operators.merge import advance
-from parallaxa.operators.prefix import prefix_sum
+from parallaxa.operators.prefix import positions
 from parallaxa.operators.scans import first_delivery, keyset_page, latest_by
 from parallaxa.plans.registry import Registry
 from parallaxa.plans.tables import table
@@ -245,17 +245,13 @@ def t03(spark, sf_dir):
 
 @REGISTRY.query(
     "t07_track_order",
-    f"""WITH RECURSIVE e AS ({_NODE_EDGES}), l AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
-reach AS (SELECT u AS node, u AS low FROM l UNION SELECT l.v, r.low FROM reach r JOIN l ON l.u = r.node WHERE r.low < l.v),
-t AS (SELECT node, min(low) AS track FROM reach GROUP BY 1)
-SELECT track, count(*) AS members, row_number() OVER (ORDER BY track) - 1 AS position FROM t GROUP BY 1""",
+    f"""WITH RECURSIVE {_TRACKS}
+SELECT track.s AS track_set_id, track.i AS track_index, count(*) AS members, row_number() OVER (ORDER BY track) - 1 AS position FROM t GROUP BY track""",
 )
 def t07(spark, sf_dir):
     """Positions of tracks in lexicographic order of their members: disjoint sorted lists order as their first members."""
-    tracks = track_members(spark, sf_dir).groupBy(F.col("low").alias("track")).agg(F.count(F.lit(1)).alias("members"))
-    rows = tracks.withColumn("all", F.lit(0)).withColumn("one", F.lit(1))
-    found, _ = prefix_sum(rows, ["all"], ["track"], "one", "position")
-    return found.select("track", "members", F.col("position").cast("bigint").alias("position"))
+    key = ["track_set_id", "track_index"]
+    return positions(track_members(spark, sf_dir).groupBy(*key).agg(F.count(F.lit(1)).alias("members")), [], key, "position")
 
 
 @REGISTRY.query(

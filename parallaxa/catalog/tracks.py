@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parallaxa.catalog.relational import feature_sets, match_results
 from parallaxa.catalog.statistics import _VALID, valid_matches
 from parallaxa.functions.bits import pack_bits, set_bits
-from parallaxa.operators.components import accepted_tracks, components
+from parallaxa.operators.components import accepted_tracks, components, pair_components
 from parallaxa.operators.integrity import all_checks, duplicate_keys, orphans, rule_violations, structural_mask, underconstrained
 from parallaxa.plans.registry import Registry
 from parallaxa.plans.tables import table
@@ -30,38 +30,50 @@ def g01(spark, sf_dir):
     return found.select(F.col("v").alias("feature_set_id"), F.col("low").alias("component"))
 
 
-_NODE_EDGES = """SELECT DISTINCT (r.feature_set_id_a << 20) | m.feature_index_a AS u, (r.feature_set_id_b << 20) | m.feature_index_b AS v
+_NODE_EDGES = """SELECT DISTINCT {'s': r.feature_set_id_a, 'i': m.feature_index_a} AS u, {'s': r.feature_set_id_b, 'i': m.feature_index_b} AS v
   FROM matches m JOIN match_results r ON r.match_result_id = m.match_result_id
   WHERE r.result_status = 1 AND r.feature_set_id_a IS NOT NULL AND r.feature_set_id_b IS NOT NULL
-  AND m.feature_index_a BETWEEN 0 AND 1048575 AND m.feature_index_b BETWEEN 0 AND 1048575"""
+  AND m.feature_index_a IS NOT NULL AND m.feature_index_b IS NOT NULL"""
+_TRACKS = f"""e AS ({_NODE_EDGES}), l AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+reach AS (SELECT u AS node, u AS low FROM l UNION SELECT l.v, r.low FROM reach r JOIN l ON l.u = r.node WHERE r.low < l.v),
+t AS (SELECT node, min(low) AS track FROM reach GROUP BY 1)"""
 
 
 def track_members(spark, sf_dir):
-    """(v, low): features as feature_set_id * 2^20 + feature_index, and the smallest of their component."""
+    """(feature_set_id, feature_index, track_set_id, track_index): each matched feature, and the smallest of its component."""
     results = match_results(spark, sf_dir, "match_result_id", "feature_set_id_a", "feature_set_id_b", "result_status")
     entries = table(spark, sf_dir, "matches").select("match_result_id", "feature_index_a", "feature_index_b")
-    inside = F.col("feature_index_a").between(0, 2**20 - 1) & F.col("feature_index_b").between(0, 2**20 - 1)
-    rows = entries.where(inside).join(results.where("result_status = 1").drop("result_status").dropna(), "match_result_id")
-    node = lambda side: F.shiftleft(f"feature_set_id_{side}", 20).bitwiseOR(F.col(f"feature_index_{side}"))
-    return components(rows.select(node("a").alias("u"), node("b").alias("v")))
+    rows = entries.join(results.where("result_status = 1").drop("result_status").dropna(), "match_result_id")
+    found = pair_components(rows, ("feature_set_id_a", "feature_index_a"), ("feature_set_id_b", "feature_index_b"))
+    return found.toDF("feature_set_id", "feature_index", "track_set_id", "track_index")
 
 
 @REGISTRY.query(
     "g02_track_acceptance",
-    f"""WITH RECURSIVE e AS ({_NODE_EDGES}), l AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
-reach AS (SELECT u AS node, u AS low FROM l UNION SELECT l.v, r.low FROM reach r JOIN l ON l.u = r.node WHERE r.low < l.v),
-t AS (SELECT node, min(low) AS track FROM reach GROUP BY 1)
-SELECT t.track, count(*) AS size, count(DISTINCT f.image_id) AS images,
+    f"""WITH RECURSIVE {_TRACKS}
+SELECT t.track.s AS track_set_id, t.track.i AS track_index, count(*) AS size, count(DISTINCT f.image_id) AS images,
   count(*) >= 2 AND count(DISTINCT f.meta) = 1 AND count(DISTINCT f.image_id) = count(*) AS accepted
-FROM t JOIN (SELECT DISTINCT feature_set_id, image_id, extractor_kind || '/' || extractor_version AS meta FROM feature_sets) f ON f.feature_set_id = t.node >> 20
-GROUP BY 1""",
+FROM t JOIN (SELECT DISTINCT feature_set_id, image_id, extractor_kind || '/' || extractor_version AS meta FROM feature_sets) f ON f.feature_set_id = t.node.s
+GROUP BY 1, 2""",
 )
 def g02(spark, sf_dir):
     """A component is a track whole or not at all: one kind of extractor, no image twice, two members."""
-    members = track_members(spark, sf_dir).select(F.col("low").alias("track"), F.shiftright("v", 20).alias("feature_set_id"))
+    members = track_members(spark, sf_dir).select(F.struct("track_set_id", "track_index").alias("track"), "feature_set_id")
     sets = feature_sets(spark, sf_dir, "feature_set_id", "image_id", "extractor_kind", "extractor_version")
     sets = sets.select("feature_set_id", "image_id", F.concat_ws("/", "extractor_kind", F.col("extractor_version").cast("string")).alias("meta"))
-    return accepted_tracks(members.join(sets, "feature_set_id"), "track", "image_id", "meta")
+    return accepted_tracks(members.join(sets, "feature_set_id"), "track", "image_id", "meta").select("track.*", "size", "images", "accepted")
+
+
+@REGISTRY.query(
+    "s07_observed_tracks",
+    f"""WITH RECURSIVE {_TRACKS}
+SELECT DISTINCT d.feature_set_id, d.feature_index, t.track.s AS track_set_id, t.track.i AS track_index
+FROM descriptors d JOIN t ON t.node.s = d.feature_set_id AND t.node.i = d.feature_index""",
+)
+def s07_tracks(spark, sf_dir):
+    """The track of every described feature that is on one: lookup by (set, index)."""
+    asked = table(spark, sf_dir, "descriptors").select("feature_set_id", "feature_index").distinct()
+    return asked.join(track_members(spark, sf_dir), ["feature_set_id", "feature_index"])
 
 
 @REGISTRY.query(

@@ -3,6 +3,9 @@
 Iterative operators write each round as Parquet below the folder named by `spark.checkpoint.dir` and read it back.
 Lost executors then cost at most the running round, column pruning works on what was written, and the file sizes
 give the optimizer true statistics for its join choices.
+
+Operators drop what nothing reads any more. What a returned DataFrame still reads lives until its session ends, or,
+in long sessions, until the `scratch` block around its use is left.
 """
 
 from __future__ import annotations
@@ -10,6 +13,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,40 +22,46 @@ _own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; only where that is unset, a folder of our own (tests, local runs)."""
+    """`spark.checkpoint.dir` of the session; a folder of our own only where that is unset and the session is local."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local"):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="spark-parallaxa-")
     return _own_folders[app]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+class Folder:
+    """A folder below the shared one; `drop()` removes it once nothing reads it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.path = f"{shared_folder(spark)}/parallaxa/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+        _live.add(self)
+
+    def drop(self) -> None:
+        if self not in _live:
+            return
+        _live.discard(self)
+        context = self.spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
-class Cut:
-    """A DataFrame that was written to the shared folder; `drop()` removes its files once nothing reads them."""
+class Cut(Folder):
+    """A DataFrame that was written to the shared folder."""
 
     def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        app = self.spark.sparkContext.applicationId
-        self.path = f"{shared_folder(self.spark)}/parallaxa/{app}/{name}-{uuid.uuid4().hex[:12]}"
+        super().__init__(df.sparkSession, name)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
-        _live.add(self)
-
-    def drop(self) -> None:
-        if self in _live:
-            _live.discard(self)
-            _delete(self.spark, self.path)
 
 
-_live: set[Cut] = set()
+_live: set[Folder] = set()
 
 
 def cut(df: DataFrame, name: str = "cut") -> Cut:
@@ -58,11 +69,22 @@ def cut(df: DataFrame, name: str = "cut") -> Cut:
     return Cut(df, name)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Whatever operators write inside the block is removed when it is left: use up their results before."""
+    before = set(_live)
+    try:
+        yield
+    finally:
+        for folder in _live - before:
+            folder.drop()
+
+
 @atexit.register
 def _drop_all() -> None:
-    for c in list(_live):
+    for folder in list(_live):
         try:
-            if c.spark.sparkContext._jsc is not None:
-                c.drop()
+            if folder.spark.sparkContext._jsc is not None:
+                folder.drop()
         except Exception:  # noqa: BLE001 - the session may be gone already
             pass

@@ -3,28 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallaxa.operators.components import both_ways, propagate
+from parallaxa.operators.components import both_ways, coded_pairs, propagate
 from parallaxa.plans.lineage import Cut, cut
 
 
-@dataclass
-class _Packing:
-    """A vertex (major, minor) as one BIGINT in the same order."""
-
-    shift: int
-
-    def pack(self, major: str, minor: str) -> Column:
-        return F.shiftleft(F.col(major), self.shift).bitwiseOR(F.col(minor))
-
-    def unpack(self, code: str) -> tuple[Column, Column]:
-        return F.shiftright(F.col(code), self.shift), F.col(code).bitwiseAND(F.lit((1 << self.shift) - 1))
-
-
 def peel(edges: DataFrame, max_rounds: int) -> tuple[list[Cut], int, bool]:
     """Breadth-first search by frontier joins from the vertex of highest degree.
 
@@ -35,19 +21,19 @@ def peel(edges: DataFrame, max_rounds: int) -> tuple[list[Cut], int, bool]:
     # the hub's own edges are a filter, not a join: no task receives them all by key
     first = both.where(F.col("u") == start).select("v").union(edges.sparkSession.createDataFrame([(start,)], "v bigint"))
     frontiers = [cut(first.distinct(), "frontier")]
-    seen = frontiers[0].df
     for _ in range(max_rounds):
+        # a neighbour of the last frontier lies in it, in the one before, or is new
+        near = frontiers[-1].df if len(frontiers) == 1 else frontiers[-1].df.union(frontiers[-2].df)
         reached = (
             both.where(F.col("u") != start)
             .join(frontiers[-1].df.where(F.col("v") != start).select(F.col("v").alias("u")), "u", "left_semi")
             .select("v")
             .distinct()
-            .join(seen, "v", "left_anti")
+            .join(near, "v", "left_anti")
         )
         frontiers.append(cut(reached, "frontier"))
         if not frontiers[-1].df.head(1):
             return frontiers, start, True
-        seen = seen.union(frontiers[-1].df)
     return frontiers, start, False
 
 
@@ -64,46 +50,13 @@ def connected_groups(
     is a group of one; an empty input gives an empty result; further columns are not read.
 
     The giant component is peeled by breadth-first joins from the vertex of highest degree and anti-joined away. If it
-    is deeper than `peel_rounds`, what was reached shrinks to its start vertex and the rest goes on by minimum
-    propagation, so that deep components cost logarithmically many rounds and the result is the same.
+    is deeper than `peel_rounds`, what was reached shrinks to its start vertex and goes on with the rest: the result is
+    the same. The rest is labelled by minimum propagation; chains that are longer than its rounds are contracted.
     """
-    (ma, na), (mb, nb) = side_a, side_b
-    rows = pairs.select(
-        *(F.col(c).cast("bigint").alias(x) for c, x in ((ma, "ma"), (na, "na"), (mb, "mb"), (nb, "nb")))
-    ).dropna()
-    swap = F.struct("ma", "na") > F.struct("mb", "nb")
-    ordered = rows.select(
-        F.when(swap, F.col("mb")).otherwise(F.col("ma")).alias("ma"),
-        F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"),
-        F.when(swap, F.col("ma")).otherwise(F.col("mb")).alias("mb"),
-        F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb"),
-    ).distinct()
-    raw = cut(ordered, "pairs")
-    bounds = raw.df.agg(
-        F.max(F.greatest("ma", "mb")).alias("major"),
-        F.max(F.greatest("na", "nb")).alias("minor"),
-        F.min(F.least("ma", "mb", "na", "nb")).alias("least"),
-    ).head()
-    names: Cut | None = None
-    if bounds["least"] is None:
-        return raw.df.select(
-            F.col("ma").alias("major"), F.col("na").alias("minor"), F.col("ma").alias("group_major"), F.col("na").alias("group_minor")
-        )
-    shift = max(1, int(bounds["minor"]).bit_length())
-    if bounds["least"] >= 0 and int(bounds["major"]).bit_length() + shift <= 63:
-        packing = _Packing(shift)
-        coded = raw.df.select(packing.pack("ma", "na").alias("u"), packing.pack("mb", "nb").alias("v"))
-    else:
-        # ids too wide for one BIGINT: number the vertices in their order
-        ends = raw.df.select(F.col("ma").alias("major"), F.col("na").alias("minor")).union(raw.df.select("mb", "nb"))
-        names = cut(ends.distinct().orderBy("major", "minor").withColumn("code", F.monotonically_increasing_id()), "vertices")
-        packing = None
-        a = names.df.select(F.col("major").alias("ma"), F.col("minor").alias("na"), F.col("code").alias("u"))
-        b = names.df.select(F.col("major").alias("mb"), F.col("minor").alias("nb"), F.col("code").alias("v"))
-        coded = raw.df.join(a, ["ma", "na"]).join(b, ["mb", "nb"]).select("u", "v")
-        coded = cut(coded, "coded").df
-    edges = coded.where("u <> v")
-    loops = coded.where("u = v").select("u").distinct()
+    coded = coded_pairs(pairs, side_a, side_b)
+    kept = coded.edges
+    edges = kept.where("u <> v")
+    loops = kept.where("u = v").select("u")
     alone = loops.join(both_ways(edges).select("u").distinct(), "u", "left_anti").select(F.col("u").alias("v"), F.col("u").alias("low"))
     labels = alone
     if edges.head(1):
@@ -137,12 +90,4 @@ def connected_groups(
             found = found.where(F.col("v") != start)
         rest.drop()
         labels = labels.unionByName(found).unionByName(seen.select("v", giant.cast("bigint").alias("low")))
-    if packing:
-        major, minor = packing.unpack("v")
-        group_major, group_minor = packing.unpack("low")
-        return labels.select(
-            major.alias("major"), minor.alias("minor"), group_major.alias("group_major"), group_minor.alias("group_minor")
-        )
-    own = names.df.select("major", "minor", F.col("code").alias("v"))
-    group = names.df.select(F.col("major").alias("group_major"), F.col("minor").alias("group_minor"), F.col("code").alias("low"))
-    return labels.join(own, "v").join(group, "low").select("major", "minor", "group_major", "group_minor")
+    return coded.decode(labels)

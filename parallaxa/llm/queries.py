@@ -271,8 +271,9 @@ def source_name(column: str = "source"):
     return F.when(plain != "", plain)
 
 
-def _scored(spark, sf_dir):
-    return score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels")).rows
+def _scored(spark, sf_dir, *keep):
+    documents = table(spark, sf_dir, "documents").withColumn("source", source_name())
+    return score_texts(documents, table(spark, sf_dir, "review_labels"), keep=keep).rows
 
 
 @REGISTRY.query("p8_found")
@@ -288,9 +289,8 @@ def p8_scores(spark, sf_dir):
 @REGISTRY.query("p8_rates")
 def p8_rates(spark, sf_dir):
     """Documents, cases and rate of every source, documents without a source included."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", source_name().alias("source"))
     return (
-        documents.join(_scored(spark, sf_dir), "doc_id")
+        _scored(spark, sf_dir, "source")
         .groupBy("source")
         .agg(
             F.count(F.lit(1)).alias("documents"),

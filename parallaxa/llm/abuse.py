@@ -331,8 +331,8 @@ class AbuseModel:
     trees: int = 30
     depth: int = 4
     step: float = 0.2
-    least_leaf: int = 2
-    threshold: float = 0.6
+    least_leaf: int = 3
+    threshold: float = 0.5
 
 
 def judged(labels: DataFrame, model: AbuseModel) -> Cut:

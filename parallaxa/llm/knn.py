@@ -1,9 +1,11 @@
 """The k nearest vectors of every vector, over balanced posting lists.
 
-A bounded sample is split into balanced lists by a tree of two-means cuts; the list centroids form a neighbour graph
-that every task searches in memory. A vector is a member of its nearest lists (replicas at the boundary) and asks its
-nearest lists (probes), both cut off where a centroid is much farther than the nearest one. Spark shuffles vectors by
-list; each list compares its queries with its members by one matrix product, with exact distances.
+A sample is split into balanced lists by trees of two-means cuts: first into cells, then, cell by cell in tasks of their
+own, into lists, so that the lists grow in number with the data. The list centroids form a neighbour graph that every
+task searches in memory. A vector is a member of its nearest lists (replicas at the boundary) and asks its nearest lists
+(probes), both cut off where a centroid is much farther than the nearest one. Spark shuffles vectors by list, crowded
+lists in blocks of queries and members; each compares its queries with its members by one matrix product, with exact
+distances.
 """
 
 from __future__ import annotations
@@ -71,27 +73,32 @@ class Space:
 
 @dataclass(frozen=True)
 class Index:
-    """Parameters of the posting lists. `sample_rows` bounds the rows a space's lists are fitted on, and with
-    `sample_per_list` the number of its lists (and so what is broadcast); beyond that, lists grow with the data and are
-    compared in blocks of `block_rows`."""
+    """Parameters of the posting lists. A space has a list for every `list_rows` rows, but at most `most_lists`, which
+    bounds what is broadcast; they are fitted on `sample_per_list` rows each. Where a list has more than `block_members`
+    members or `block_queries` queries, by what the sample lets expect, both are split into blocks that meet pairwise."""
 
-    list_rows: int = 500
+    list_rows: int = 300
+    most_lists: int = 65_536
     replicas: int = 3
-    probes: int = 10
+    probes: int = 12
     replica_ratio: float = 1.2
     probe_ratio: float = 1.3
-    degree: int = 160
-    sample_rows: int = 40_000
+    degree: int = 96
     sample_per_list: int = 8
-    block_rows: int = 4000
+    lists_per_cell: int = 256
+    block_members: int = 4096
+    block_queries: int = 16_384
     seed: int = 5
 
 
 @dataclass
 class Lists:
+    """Centroids of a space, their neighbours, and into how many blocks the queries and the members of each are split."""
+
     centroids: np.ndarray
     neighbours: np.ndarray
-    blocks: np.ndarray
+    query_blocks: np.ndarray
+    member_blocks: np.ndarray
     norms: np.ndarray = field(init=False)
     entries: np.ndarray = field(init=False)
 
@@ -137,9 +144,9 @@ class Lists:
         return ids, np.maximum(dist, 0)
 
 
-def fit_lists(sample: np.ndarray, leaf: int, fraction: float, index: Index) -> pd.DataFrame:
-    """Balanced lists of a sample: rows (list_no, centroid, neighbours, blocks)."""
-    rng = np.random.default_rng(index.seed)
+def balanced_centroids(sample: np.ndarray, leaf: int, seed: int) -> np.ndarray:
+    """Centroids of the leaves, of at most `leaf` rows, of a tree of two-means cuts that keep a third on either side."""
+    rng = np.random.default_rng(seed)
     stack, leaves = [np.arange(len(sample))], []
     while stack:
         rows = stack.pop()
@@ -161,26 +168,19 @@ def fit_lists(sample: np.ndarray, leaf: int, fraction: float, index: Index) -> p
         at = min(max(natural, int(len(rows) * 0.35)), int(len(rows) * 0.65))
         at = min(max(at, 1), len(rows) - 1)
         stack += [rows[order[at:]], rows[order[:at]]]
-    centroids = np.stack([sample[r].mean(0) for r in leaves]).astype(np.float32)
+    return np.stack([sample[r].mean(0) for r in leaves]).astype(np.float32)
+
+
+def nearest_centroids(centroids: np.ndarray, first: int, last: int, degree: int) -> np.ndarray:
+    """The `degree` nearest other centroids of those numbered from `first` up to `last`; -1 where there are fewer."""
     m = len(centroids)
-    norms = (centroids**2).sum(1)
-    degree = min(index.degree, m - 1)
-    neighbours = np.full((m, max(1, index.degree)), -1, dtype=np.int64)
-    for i in range(0, m, 512):
-        d = norms[None, :] - 2 * (centroids[i : i + 512] @ centroids.T)
-        d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-        if degree:
-            near = np.argpartition(d, degree - 1, axis=1)[:, :degree]
-            neighbours[i : i + len(d), :degree] = near
-    lists = Lists(centroids, neighbours, np.ones(m, dtype=np.int64))
-    loads = np.zeros(m)
-    for i in range(0, len(sample), 4096):
-        ids, _ = lists.search(sample[i : i + 4096], 1)
-        np.add.at(loads, ids[:, 0], 1)
-    blocks = np.maximum(1, np.ceil(loads * index.replicas / fraction / index.block_rows)).astype(int)
-    return pd.DataFrame(
-        {"list_no": np.arange(m), "centroid": list(centroids), "neighbours": list(neighbours), "blocks": blocks}
-    )
+    found = np.full((last - first, max(1, degree)), -1, dtype=np.int32)
+    d = (centroids**2).sum(1)[None, :] - 2 * (centroids[first:last] @ centroids.T)
+    d[np.arange(last - first), np.arange(first, last)] = np.inf
+    take = min(degree, m - 1)
+    if take:
+        found[:, :take] = np.argpartition(d, take - 1, axis=1)[:, :take]
+    return found
 
 
 def _chosen(ids: np.ndarray, squared: np.ndarray, ratio: float, most: int) -> np.ndarray:
@@ -194,46 +194,77 @@ _ASSIGNED = "space int, list_no int, block int, role int, major bigint, minor bi
 _QUERY, _MEMBER = 1, 2
 
 
+def _roles(lists: Lists, x: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lists found, asks, holds) of each row."""
+    ids, squared = lists.search(x, index.probes)
+    return ids, _chosen(ids, squared, index.probe_ratio, index.probes), _chosen(ids, squared, index.replica_ratio, index.replicas)
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of a batch by space, a few thousand at a time."""
+    of = batch.column("space").to_numpy()
+    for s in np.unique(of):
+        for part in np.array_split(np.flatnonzero(of == s), max(1, (of == s).sum() // 8192)):
+            yield int(s), batch.take(pa.array(part))
+
+
 def _assign(spaces: list[Space], shared, index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = {s: Lists(*parts) for s, parts in shared.value.items()}
         for batch in batches:
-            of = batch.column("space").to_numpy()
-            for s in np.unique(of):
-                for part in np.array_split(np.flatnonzero(of == s), max(1, (of == s).sum() // 8192)):
-                    rows = batch.take(pa.array(part))
-                    mine = lists[int(s)]
-                    ids, squared = mine.search(spaces[s].decode(rows.column("payload")), index.probes)
-                    asks = _chosen(ids, squared, index.probe_ratio, index.probes)
-                    holds = _chosen(ids, squared, index.replica_ratio, index.replicas)
-                    who, where = np.nonzero(asks | holds)
-                    role = asks[who, where] * _QUERY + holds[who, where] * _MEMBER
-                    list_no = ids[who, where]
-                    blocks = mine.blocks[list_no]
-                    if blocks.max(initial=1) > 1:  # a query asks every block of a list, a member is in one
-                        minor = rows.column("minor").to_numpy()[who] + 31 * rows.column("major").to_numpy()[who]
-                        times = np.repeat(np.arange(len(who)), blocks)
-                        block = np.arange(len(times)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                        own = (minor % blocks)[times] == block
-                        role = np.where(own, role[times], role[times] & _QUERY)
-                        who, list_no = who[times], list_no[times]
-                        keep = role > 0
-                        who, list_no, block, role = who[keep], list_no[keep], block[keep], role[keep]
-                    else:
-                        block = np.zeros(len(who), dtype=np.int64)
-                    out = rows.take(pa.array(who))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            out.column("space"),
-                            pa.array(list_no, pa.int32()),
-                            pa.array(block, pa.int32()),
-                            pa.array(role, pa.int32()),
-                            out.column("major"),
-                            out.column("minor"),
-                            out.column("payload"),
-                        ],
-                        names=["space", "list_no", "block", "role", "major", "minor", "payload"],
-                    )
+            for s, rows in _parts(batch):
+                mine = lists[s]
+                ids, asks, holds = _roles(mine, spaces[s].decode(rows.column("payload")), index)
+                who, where = np.nonzero(asks | holds)
+                role = asks[who, where] * _QUERY + holds[who, where] * _MEMBER
+                list_no = ids[who, where]
+                block = np.zeros(len(who), dtype=np.int64)
+                across, down = mine.member_blocks[list_no], mine.query_blocks[list_no]
+                crowded = across * down > 1
+                if crowded.any():  # a query meets every block of members, a member every block of queries
+                    spread = (rows.column("minor").to_numpy() + 31 * rows.column("major").to_numpy())[who]
+                    out = [(who[~crowded], list_no[~crowded], block[~crowded], role[~crowded])]
+                    for kind, times in ((_QUERY, across), (_MEMBER, down)):
+                        some = np.flatnonzero(crowded & ((role & kind) > 0))
+                        n = times[some]
+                        again = np.repeat(some, n)
+                        other = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
+                        if kind == _QUERY:
+                            at = (spread[again] % down[again]) * across[again] + other
+                        else:
+                            at = other * across[again] + spread[again] % across[again]
+                        out.append((who[again], list_no[again], at, np.full(len(again), kind)))
+                    who, list_no, block, role = (np.concatenate(c) for c in zip(*out, strict=True))
+                out = rows.take(pa.array(who))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        out.column("space"),
+                        pa.array(list_no, pa.int32()),
+                        pa.array(block, pa.int32()),
+                        pa.array(role, pa.int32()),
+                        out.column("major"),
+                        out.column("minor"),
+                        out.column("payload"),
+                    ],
+                    names=["space", "list_no", "block", "role", "major", "minor", "payload"],
+                )
+
+    return run
+
+
+def _loads(spaces: list[Space], shared, index: Index):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = {s: Lists(*parts) for s, parts in shared.value.items()}
+        counts = {s: np.zeros((2, len(v.centroids)), dtype=np.int64) for s, v in lists.items()}
+        for batch in batches:
+            for s, rows in _parts(batch):
+                ids, asks, holds = _roles(lists[s], spaces[s].decode(rows.column("payload")), index)
+                for i, chosen in enumerate((asks, holds)):
+                    counts[s][i] += np.bincount(ids[chosen], minlength=counts[s].shape[1])
+        for s, (asked, held) in counts.items():
+            some = np.flatnonzero(asked + held)
+            columns = [np.full(len(some), s, np.int32), some.astype(np.int32), asked[some], held[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["space", "list_no", "asked", "held"])
 
     return run
 
@@ -300,35 +331,83 @@ def pack_floats(vector: Column, dimension: Column) -> Column:
 
 
 def fit_index(units: DataFrame, counts: dict[int, int], spaces: list[Space], index: Index) -> dict[int, tuple]:
-    """Lists of every space, each fitted by one task on a bounded sample; bounded in size, so they may be broadcast."""
-    share = F.lit(0.0)
-    fractions = {s: min(1.0, index.sample_rows / n) for s, n in counts.items()}
-    for s, fraction in fractions.items():
-        share = F.when(F.col("space") == s, F.lit(fraction)).otherwise(share)
-    draw = F.pmod(F.xxhash64("major", "minor"), F.lit(1_000_000)) / 1e6
-    sample = units.where(draw < share).select("space", "major", "minor", "payload")
-
-    def fit(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        s = int(key[0])
+    """The parts of Lists of every space: at most `most_lists` each, so they may be broadcast.
+
+    The sample (`sample_per_list` rows a list) is spread over cells by a first tree on a part of it; then every cell is
+    split into its lists, and every stretch of centroids finds its neighbours, in a task of its own.
+    """
+    spark = units.sparkSession
+    lists = {s: max(1, min(index.most_lists, math.ceil(n / index.list_rows))) for s, n in counts.items()}
+    fractions = {s: min(1.0, lists[s] * index.sample_per_list / n) for s, n in counts.items()}
+    draw = F.pmod(F.xxhash64("major", "minor"), F.lit(1 << 40)) / float(1 << 40)
+
+    def drawn(rows: DataFrame, shares: dict[int, float]) -> DataFrame:
+        share = F.lit(0.0)
+        for s, fraction in shares.items():
+            share = F.when(F.col("space") == s, F.lit(fraction)).otherwise(share)
+        return rows.where(draw < share)
+
+    sample = cut(drawn(units.select("space", "major", "minor", "payload"), fractions), "sample")
+    cells = {s: math.ceil(m / index.lists_per_cell) for s, m in lists.items()}
+    leaf = {s: max(1, math.ceil(counts[s] * fractions[s] / lists[s])) for s in counts}
+
+    def split(pdf: pd.DataFrame, s: int, most: int) -> np.ndarray:
         pdf = pdf.sort_values(["major", "minor"])
-        x = spaces[s].decode(pa.array(pdf["payload"], pa.binary()))
-        leaf = max(index.sample_per_list, int(index.list_rows * fractions[s]))
-        return fit_lists(x, leaf, fractions[s], index).assign(space=s)
-
-    rows = (
-        sample.groupBy("space")
-        .applyInPandas(fit, "space int, list_no int, centroid array<float>, neighbours array<int>, blocks int")
-        .toPandas()
-        .sort_values(["space", "list_no"])
-    )
-    return {
-        int(s): (
-            np.stack(part["centroid"].to_list()).astype(np.float32),
-            np.stack(part["neighbours"].to_list()).astype(np.int64),
-            part["blocks"].to_numpy().astype(np.int64),
-        )
-        for s, part in rows.groupby("space")
-    }
+        return balanced_centroids(spaces[s].decode(pa.array(pdf["payload"], pa.binary())), most, index.seed)
+
+    def first_cuts(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        s = int(key[0])
+        return pd.DataFrame({"centroid": list(split(pdf, s, max(1, math.ceil(len(pdf) / cells[s]))))}).assign(space=s)
+
+    several = {s: fractions[s] / 8 for s, c in cells.items() if c > 1}
+    coarse: dict[int, np.ndarray] = {}
+    if several:
+        found = drawn(sample.df, several).groupBy("space").applyInPandas(first_cuts, "space int, centroid array<float>").toPandas()
+        coarse = {int(s): np.stack(part["centroid"].to_list()).astype(np.float32) for s, part in found.groupby("space")}
+    shared_cells = spark.sparkContext.broadcast(coarse)
+
+    def into_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, rows in _parts(batch):
+                c = shared_cells.value.get(s)
+                cell = np.zeros(rows.num_rows, dtype=np.int32)
+                if c is not None:
+                    cell = np.argmin((c**2).sum(1)[None, :] - 2 * (spaces[s].decode(rows.column("payload")) @ c.T), axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cell)], names=[*rows.schema.names, "cell"])
+
+    def cell_lists(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        found = split(pdf, int(key[0]), leaf[int(key[0])])
+        return pd.DataFrame({"centroid": list(found), "place": np.arange(len(found))}).assign(space=int(key[0]), cell=int(key[1]))
+
+    tagged = sample.df.mapInArrow(into_cells, "space int, major bigint, minor bigint, payload binary, cell int")
+    fitted = tagged.groupBy("space", "cell").applyInPandas(cell_lists, "space int, cell int, place int, centroid array<float>").toPandas()
+    fitted = fitted.sort_values(["space", "cell", "place"])
+    centroids = {int(s): np.stack(part["centroid"].to_list()).astype(np.float32) for s, part in fitted.groupby("space")}
+    shared_centroids = spark.sparkContext.broadcast(centroids)
+    stretches = [(s, i, min(i + 1024, len(c))) for s, c in centroids.items() for i in range(0, len(c), 1024)]
+
+    def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for s, first, last in pdf.itertuples(index=False):
+                near = nearest_centroids(shared_centroids.value[s], first, last, index.degree)
+                yield pd.DataFrame({"space": s, "list_no": np.arange(first, last), "near": list(near)})
+
+    todo = spark.createDataFrame(stretches, "space int, first int, last int").repartition(max(1, len(stretches)))
+    graph = todo.mapInPandas(around, "space int, list_no int, near array<int>").toPandas().sort_values(["space", "list_no"])
+    one = {s: np.ones(len(c), dtype=np.int64) for s, c in centroids.items()}
+    parts = {int(s): (centroids[int(s)], np.stack(g["near"].to_list()), one[int(s)], one[int(s)]) for s, g in graph.groupby("space")}
+    shared = spark.sparkContext.broadcast(parts)
+    loads = sample.df.mapInArrow(_loads(spaces, shared, index), "space int, list_no int, asked bigint, held bigint")
+    loads = loads.groupBy("space", "list_no").agg(F.sum("asked").alias("asked"), F.sum("held").alias("held")).toPandas()
+    blocks = {s: (one[s].copy(), one[s].copy()) for s in parts}
+    for s, part in loads.groupby("space"):
+        at = part["list_no"].to_numpy()
+        for out, column, most in zip(blocks[int(s)], ("asked", "held"), (index.block_queries, index.block_members), strict=True):
+            out[at] = np.maximum(1, np.ceil(part[column].to_numpy() / fractions[int(s)] / most)).astype(np.int64)
+    sample.drop()
+    for b in (shared_cells, shared_centroids, shared):
+        b.unpersist()
+    return {s: (c, near, *blocks[s]) for s, (c, near, *_) in parts.items()}
 
 
 @dataclass

@@ -1,8 +1,9 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from parallaxa.llm.knn import Index, Lists, Space, fit_lists, nearest, pack_floats
+from parallaxa.llm.knn import Index, Lists, Space, balanced_centroids, nearest, nearest_centroids, pack_floats
 
 
 def brute(rows, spaces, k):
@@ -48,10 +49,11 @@ def vectors(rng, n):
     return rows
 
 
-def test_small_lists_reach_brute_force(spark):
+@pytest.mark.parametrize("index", [Index(list_rows=40, sample_per_list=4), Index(list_rows=40, lists_per_cell=2, block_members=30, block_queries=40), Index(most_lists=2, block_members=50)])
+def test_small_lists_reach_brute_force(spark, index):
     rows = vectors(np.random.default_rng(3), 600)
     rows += rows[:9] + [(0, None, 1, rows[0][3]), (None, 1, 1, rows[0][3]), (1, 5, 5, None)]
-    found, want = run(spark, rows, SPACES, index=Index(list_rows=40, sample_per_list=4, block_rows=60))
+    found, want = run(spark, rows, SPACES, index=index)
     assert len(found & want) >= 0.95 * len(want)
     # what is not among the true neighbours can only stand where a nearer one was missed
     assert len(found - want) <= len(want - found)
@@ -72,8 +74,9 @@ def test_one_record_and_none(spark):
 def test_graph_search_finds_the_nearest_centroids():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 16)).astype(np.float32)
-    df = fit_lists(x, 20, 1.0, Index())
-    lists = Lists(np.stack(df.centroid), np.stack(df.neighbours), df.blocks.to_numpy())
+    c = balanced_centroids(x, 20, 5)
+    one = np.ones(len(c), dtype=np.int64)
+    lists = Lists(c, nearest_centroids(c, 0, len(c), 96), one, one)
     ids, _ = lists.search(x[:300], 5)
     d = ((x[:300, None, :] - lists.centroids[None]) ** 2).sum(2)
     exact = np.argsort(d, axis=1)[:, :5]

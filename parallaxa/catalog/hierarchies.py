@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from parallaxa.operators.hierarchy import build_hierarchy, hierarchy_paths
+from parallaxa.operators.hierarchy import build_hierarchy, descendants_of, hierarchy_paths
 from parallaxa.plans.registry import Registry
 from parallaxa.plans.tables import table
 
@@ -71,3 +71,15 @@ def p2_hierarchy(spark, sf_dir):
         F.col("start").alias("preorder_start"),
         "descendants",
     )
+
+
+@REGISTRY.query(
+    "p2_descendants",
+    _WALK
+    + """SELECT a AS reconstruction_id, id AS descendant_id FROM (SELECT id, unnest(path) AS a FROM nodes) WHERE a <> id""",
+)
+def p2_descendants(spark, sf_dir):
+    """All that was built on each reconstruction, directly or not, by the nested-set ranges."""
+    links = table(spark, sf_dir, "incremental_reconstructions").select("reconstruction_id", "base_reconstruction_id")
+    tree = build_hierarchy(links, "reconstruction_id", "base_reconstruction_id")
+    return descendants_of(tree).withColumnRenamed("ancestor_id", "reconstruction_id")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parallaxa.operators.prefix import prefix_sum
@@ -22,7 +22,6 @@ from parallaxa.plans.lineage import Cut, cut
 ROWS_PER_BLOCK = 200_000
 
 
-
 def _look_above(state: DataFrame, above: DataFrame) -> DataFrame:
     """Left join on ptr. Rows whose ptr is null would all hash to one task, so they spread over a salt column."""
     salted = state.withColumn("salt", F.when(F.col("ptr").isNull(), F.pmod(F.col("id"), F.lit(4096))).otherwise(F.lit(0)))
@@ -246,8 +245,9 @@ def _stack_paths(batches):
 def hierarchy_paths(tree: Hierarchy, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """(id, path): the ids from the top of each node's tree down to the node itself.
 
-    Rows are range-partitioned by preorder start. Each block begins with the ancestors of its first node, found as the
-    ranges that hold its start (one broadcast row for each block); from there a stack yields every path in one pass.
+    Rows are range-partitioned by preorder start. Each block begins with the ancestors of its first node: the nodes
+    whose range goes on beyond the end of their own block, sent to every block up to the one that holds their last
+    descendant. From there a stack yields every path in one pass.
     """
     total = tree.nodes.count()
     parts = max(1, math.ceil(total / rows_per_block))
@@ -258,11 +258,11 @@ def hierarchy_paths(tree: Hierarchy, rows_per_block: int = ROWS_PER_BLOCK) -> Da
         "laid",
     )
     tree.held.append(laid)
-    firsts = laid.df.groupBy("block").agg(F.min("start").alias("first"))
-    seeds = (
-        laid.df.drop("block")
-        .join(F.broadcast(firsts), (F.col("start") < F.col("first")) & (F.col("first") <= F.col("last")))
-        .select("id", "depth", "start", "block", F.lit(True).alias("seed"))
+    ends = laid.df.groupBy("block").agg(F.max("start").alias("end"))
+    crossing = laid.df.join(ends, "block").where("last > end")
+    ends_in = laid.df.select(F.col("start").alias("last"), F.col("block").alias("to"))
+    seeds = crossing.join(ends_in, "last").select(
+        "id", "depth", "start", F.explode(F.sequence(F.col("block") + 1, F.col("to"))).alias("block"), F.lit(True).alias("seed")
     )
     rows = laid.df.select("id", "depth", "start", "block", F.lit(False).alias("seed")).unionByName(seeds)
     return (
@@ -273,8 +273,8 @@ def hierarchy_paths(tree: Hierarchy, rows_per_block: int = ROWS_PER_BLOCK) -> Da
     )
 
 
-def descendants_of(tree: Hierarchy, ids: DataFrame, blocks: int = 10) -> DataFrame:
-    """(ancestor_id, descendant_id) for the ids in column `id` of `ids`, by their nested-set ranges.
+def descendants_of(tree: Hierarchy, ids: DataFrame | None = None) -> DataFrame:
+    """(ancestor_id, descendant_id) for the ids in column `id` of `ids`, all nodes if None, by their nested-set ranges.
 
     A range is cut into aligned power-of-two pieces (at most two of each size), and a node's start meets the pieces by
     equality, so that the range join becomes an equi-join without scanning other nodes.
@@ -282,7 +282,9 @@ def descendants_of(tree: Hierarchy, ids: DataFrame, blocks: int = 10) -> DataFra
     top = tree.nodes.agg(F.max("last")).head()[0] or 0
     levels = max(1, int(top).bit_length() + 1)
     # pieces of (low, high]: walk sizes upward while the ends are unaligned, as a segment tree query does
-    asked = tree.nodes.join(ids.select("id").distinct(), "id", "left_semi")
+    asked = tree.nodes.where("descendants > 0")
+    if ids is not None:
+        asked = asked.join(ids.select("id").distinct(), "id", "left_semi")
     lo, hi = F.col("start") + 1, F.col("last") + 1
     piece = F.transform(
         F.sequence(F.lit(0), F.lit(levels - 1)),

@@ -18,6 +18,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,23 +46,30 @@ class Space:
         rows = [np.frombuffer(p, np.uint8 if len(p) == self.dimension else np.float32) for p in payloads.to_pylist()]
         return np.stack(rows).astype(np.float32)
 
+    def whole(self, payloads: pa.Array) -> bool:
+        """Whether all payloads are bits or bytes, by their length."""
+        return self.metric == "hamming" or pa.compute.max(pa.compute.binary_length(payloads)).as_py() == self.dimension
+
+    def sides(self, x: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The rows as queries and as members: the product of the two is minus the squared distance. In float64 unless
+        the values are whole and small enough for float32 to be exact."""
+        top = float(np.abs(x).max(initial=0)) if self.metric == "l2" else 1.0
+        kind = np.float32 if whole and 2 * top * top * x.shape[1] < 2**24 else np.float64
+        x = x.astype(kind, copy=False)
+        size = np.einsum("ij,ij->i", x, x)[:, None]
+        one = np.ones((len(x), 1), dtype=kind)
+        return np.concatenate([2 * x, -size, one], axis=1), np.concatenate([x, one, -size], axis=1)
+
     def within(self, q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, column, squared distance) of the pairs within the radius, of crowded rows only the k + 1 nearest and
-        their equals. One matrix product gives all distances, in float64 unless the values are whole and small enough
-        for float32 to be exact."""
-        top = max(float(np.abs(q).max(initial=0)), float(np.abs(x).max(initial=0)))
-        whole = not np.any(q % 1) and not np.any(x % 1)
-        kind = np.float32 if whole and 2 * top * top * q.shape[1] < 2**24 else np.float64
-        q, x = q.astype(kind, copy=False), x.astype(kind, copy=False)
-        ones = lambda v: np.ones((len(v), 1), dtype=kind)
-        left = np.concatenate([2 * q, -(q * q).sum(1, keepdims=True), ones(q)], axis=1)
-        right = np.concatenate([x, ones(x), -(x * x).sum(1, keepdims=True)], axis=1)
-        minus = left @ right.T
+        """(row, column, squared distance) of the pairs of query and member sides within the radius, of crowded rows
+        only the k + 1 nearest and their equals."""
+        minus = q @ x.T
         close = minus >= -self.squared_radius * (1 + 1e-12)
         if len(x) > k + 1 and np.count_nonzero(close) > 64 * len(q):
             close &= minus >= np.partition(minus, len(x) - k - 1, axis=1)[:, len(x) - k - 1][:, None]
-        r, c = np.nonzero(close)
-        return r, c, np.maximum(-minus[r, c].astype(np.float64), 0)
+        at = np.flatnonzero(close)
+        r, c = np.divmod(at, len(x))
+        return r, c, np.maximum(-minus.ravel()[at].astype(np.float64), 0)
 
     @property
     def squared_radius(self) -> float:
@@ -280,12 +288,14 @@ def _compare(spaces: list[Space], k: int):
         members = table.filter(pa.array((role & _MEMBER) > 0)).combine_chunks()
         out: list[list[np.ndarray]] = []
         if queries.num_rows and members.num_rows:
-            x = space.decode(members["payload"].combine_chunks())
+            payloads = table["payload"].combine_chunks()
+            whole = space.whole(payloads)
+            x = space.sides(space.decode(members["payload"].combine_chunks()), whole)[1]
             x_id = (members["major"].to_numpy(), members["minor"].to_numpy())
             for i in range(0, queries.num_rows, 1024):
                 part = queries.slice(i, 1024)
                 q_id = (part["major"].to_numpy(), part["minor"].to_numpy())
-                r, c, squared = space.within(space.decode(part["payload"].combine_chunks()), x, k)
+                r, c, squared = space.within(space.sides(space.decode(part["payload"].combine_chunks()), whole)[0], x, k)
                 other = (q_id[0][r] != x_id[0][c]) | (q_id[1][r] != x_id[1][c])
                 r, c, squared = r[other], c[other], squared[other]
                 order = np.lexsort((x_id[1][c], x_id[0][c], squared, r))
@@ -310,18 +320,20 @@ def pack_floats(vector: Column, dimension: Column) -> Column:
 
     def packed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for vectors, dims in batches:
-            out = []
-            for v, d in zip(vectors, dims.to_pylist(), strict=True):
-                if not v.is_valid or d is None or len(v.values) != d or v.values.null_count:
-                    out.append(None)
-                    continue
-                x = v.values.to_numpy().astype(np.float32)
-                if not np.isfinite(x).all():
-                    out.append(None)
-                elif ((x >= 0) & (x <= 255) & (x == np.floor(x))).all():
-                    out.append(x.astype(np.uint8).tobytes())
-                else:
-                    out.append((x + 0.0).tobytes())
+            starts, lengths = vectors.offsets.to_numpy()[:-1], np.diff(vectors.offsets.to_numpy())
+            wanted = dims.fill_null(-1).to_numpy(zero_copy_only=False)
+            values = vectors.values.to_numpy(zero_copy_only=False).astype(np.float32)  # null elements become NaN
+            fits = vectors.is_valid().to_numpy(zero_copy_only=False) & (lengths == wanted)
+            out: list[bytes | None] = [None] * len(vectors)
+            for d in np.unique(wanted[fits]):
+                rows = np.flatnonzero(fits & (wanted == d))
+                x = values[starts[rows][:, None] + np.arange(d)]
+                sound = np.isfinite(x).all(axis=1)
+                small = sound & ((x >= 0) & (x <= 255) & (x == np.floor(x))).all(axis=1)
+                for some, cells in ((small, x[small].astype(np.uint8)), (sound & ~small, x[sound & ~small] + np.float32(0))):
+                    width, flat = int(d) * cells.itemsize, cells.tobytes()
+                    for i, row in enumerate(rows[some]):
+                        out[row] = flat[i * width : (i + 1) * width]
             yield pa.array(out, pa.binary())
 
     def pack(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from parallaxa.llm.bpe import TOKENIZER_DIR, token_count
 from parallaxa.operators.prefix import prefix_sum
@@ -18,15 +21,18 @@ from parallaxa.plans.lineage import Cut, cut
 
 @dataclass(frozen=True)
 class MixModel:
-    """Parameters. The classifier is fitted on at most `labelled_rows` documents with a source, by hash of their id,
-    over `hashed_words` features; `steps` and `tolerance` end the projected-gradient steps."""
+    """Parameters. The two classifiers are fitted on about `labelled_rows` documents with a source in all, drawn by hash
+    of their id, over `hashed_words` features, in `fit_partitions` tasks. `steps` bounds the projected-gradient steps;
+    `soft_weight` is the weight of the predicted domain totals beside those of the known sources."""
 
-    labelled_rows: int = 40_000
+    labelled_rows: int = 20_000
     hashed_words: int = 4096
     regularisation: float = 0.01
-    fit_rounds: int = 15
-    steps: int = 60
-    tolerance: float = 1e-6
+    fit_rounds: int = 12
+    fit_partitions: int = 2
+    steps: int = 12
+    tolerance: float = 1e-4
+    soft_weight: float = 1.0
     tokenizer: str = "byte_bpe_50k"
     folder: str = TOKENIZER_DIR
 
@@ -45,86 +51,119 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
 
 
-def domain_posteriors(texts: DataFrame, domains: list[str], model: MixModel) -> DataFrame:
-    """(doc_id, tokens, domain, membership): membership is an array over `domains`.
+def domain_posteriors(texts: DataFrame, domains: list[str], model: MixModel) -> Cut:
+    """(doc_id, tokens, domain, membership, predicted), arrays over `domains`.
 
-    Documents of a known domain belong to it; for the others a multinomial classifier, fitted on documents of known
-    domain, gives the posterior of every domain.
+    `predicted` is the posterior of every domain by a multinomial classifier, for every document: the documents fall
+    into two halves by hash, each half with a classifier that was fitted on documents of known domain in the other.
+    `membership` is the known domain where there is one, else the posterior.
     """
     hashing = HashingTF(inputCol="words", outputCol="features", numFeatures=model.hashed_words)
-    known = F.array(*[(F.col("domain") == d).cast("double") for d in domains])
-    sure = texts.where("domain is not null").select("doc_id", "tokens", "domain", known.alias("membership"))
-    unsure = texts.where("domain is null")
-    if not unsure.head(1):
-        return sure
-    present = sorted(r["domain"] for r in sure.select("domain").distinct().collect())  # at most the domains given
-    labelled = texts.where("domain is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(model.labelled_rows)
+    half = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("half")), F.lit(2)).cast("int")
+    by_domain = {r["domain"]: r["count"] for r in texts.where("domain is not null").groupBy("domain").count().collect()}
+    present = sorted(by_domain)  # at most the domains given
     number = F.array_position(F.array(*[F.lit(d) for d in present]), F.col("domain")).cast("double") - 1
-    train = cut(labelled.select("doc_id", _words(F.col("text")).alias("words"), number.alias("label")), "labelled")
-    if train.df.select("label").distinct().count() < 2:
-        only = F.array(*[F.lit(1.0 if [d] == present else 0.0) for d in domains])
-        guessed = unsure.select("doc_id", "tokens", "domain", only.alias("membership"))
-    else:
-        classifier = LogisticRegression(
-            family="multinomial", regParam=model.regularisation, maxIter=model.fit_rounds
-        ).fit(hashing.transform(train.df))
-        ready = unsure.select("doc_id", "tokens", "domain", _words(F.col("text")).alias("words"))
-        posterior = vector_to_array("probability")
-        # a class beyond the largest met in the sample has no probability; nor has a source without documents
-        spread = F.array(
-            *[F.coalesce(F.get(posterior, F.lit(present.index(d))), F.lit(0.0)) if d in present else F.lit(0.0) for d in domains]
-        )
-        guessed = classifier.transform(hashing.transform(ready)).select("doc_id", "tokens", "domain", spread.alias("membership"))
-    result = cut(guessed, "posteriors").df
+    share = min(1.0, model.labelled_rows / max(1, sum(by_domain.values())))
+    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) <= int(share * (1 << 30))
+    labelled = texts.where("domain is not null").where(drawn).select(half.alias("half"), _words(F.col("text")).alias("words"), number.alias("label"))
+    train = cut(labelled.coalesce(model.fit_partitions), "labelled")
+    kinds = {h: sorted(r["label"] for r in train.df.where(F.col("half") == h).select("label").distinct().collect()) for h in (0, 1)}
+    known = F.array(*[(F.col("domain") == d).cast("double") for d in domains])
+    parts = []
+    for h in (0, 1):
+        mine, other = texts.where(half == h), train.df.where(F.col("half") == 1 - h)
+        if len(kinds[1 - h]) < 2:  # nothing to tell apart: all mass on what there is, in proportion
+            total = max(1, sum(by_domain.values()))
+            predicted = F.array(*[F.lit(by_domain.get(d, 0) / total) for d in domains])
+            guessed = mine
+        else:
+            classifier = LogisticRegression(family="multinomial", regParam=model.regularisation, maxIter=model.fit_rounds).fit(hashing.transform(other))
+            ready = mine.select("doc_id", "tokens", "domain", _words(F.col("text")).alias("words"))
+            guessed = classifier.transform(hashing.transform(ready)).withColumn("p", vector_to_array("probability"))
+            # a class beyond the largest met in the sample has no probability; nor has a source without documents
+            predicted = F.array(*[F.coalesce(F.get("p", F.lit(present.index(d))), F.lit(0.0)) if d in by_domain else F.lit(0.0) for d in domains])
+        parts.append(guessed.select("doc_id", "tokens", "domain", predicted.alias("predicted")))
+    both = parts[0].unionByName(parts[1])
+    membership = F.when(F.col("domain").isNotNull(), known).otherwise(F.col("predicted"))
+    result = cut(both.select("doc_id", "tokens", "domain", membership.alias("membership"), "predicted"), "posteriors")
     train.drop()
-    return sure.unionByName(result)
+    return result
+
+
+@dataclass
+class Rates:
+    """Document rates as the moves that lead to them from a first rate: gradient steps to add, factors to multiply by.
+    Rates are not stored; every pass replays the few moves so far, for many rows at a time."""
+
+    size: int
+    first: np.ndarray
+    moves: list[tuple[str, np.ndarray]]
+
+    def of(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(rate, both memberships side by side) of each row."""
+        n = batch.num_rows
+        columns = [batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, self.size) for c in ("membership", "predicted")]
+        cap = batch.column("cap").to_numpy(zero_copy_only=False).astype(float)
+        e = np.concatenate(columns, axis=1)
+        rate = cap * np.clip(columns[0] @ self.first, 0, 1)
+        for kind, move in self.moves:
+            rate = np.clip(rate + e @ move if kind == "add" else rate * (columns[0] @ move), 0, cap)
+        return rate, e
+
+    def totals(self, rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens at these rates by membership and by prediction: one pass, one row from each task."""
+        names = [f"s{i}" for i in range(2 * self.size)]
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(2 * self.size)
+            for batch in batches:
+                rate, e = self.of(batch)
+                sums += (batch.column("tokens").to_numpy() * rate) @ e
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names=names)
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        partial = rows.select("tokens", "cap", "membership", "predicted").mapInArrow(run, ", ".join(f"{n} double" for n in names))
+        found = partial.agg(*[F.sum(n).alias(n) for n in names]).head()
+        both = np.array([x or 0.0 for x in found])
+        return both[: self.size], both[self.size :]
 
+    def applied(self, rows: DataFrame) -> DataFrame:
+        """Adds `rate` to rows (doc_id, domain, tokens, cap, membership, predicted)."""
 
-def fit_rates(rows: DataFrame, targets: np.ndarray, model: MixModel) -> Column:
-    """Column of document rates between 0 and the row's `cap`, by projected-gradient least squares.
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(self.of(batch)[0])], names=[*batch.schema.names, "rate"])
 
-    Rows have tokens, membership and cap. A step moves each rate along the scaled residual of the totals (one number
-    for each domain) and clips it. Rates are not stored: each pass replays the few steps so far from the residuals,
-    which keeps every pass one aggregation over the documents, with one row coming back.
+        return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("rate", "double"))
+
+
+def fit_rates(rows: DataFrame, targets: np.ndarray, model: MixModel) -> Rates:
+    """Document rates between 0 and the row's `cap`, by distributed projected-gradient least squares.
+
+    Rows have tokens, cap, membership and predicted. The rates start even over every domain's documents. Two sets of
+    totals are to match the targets: those of the memberships and, with a smaller weight, those of the predictions. A
+    step moves each rate along the scaled residuals and clips it. Each total's scale is one over twice its tokens: as
+    both memberships of a row sum to 1 at most, no step can overshoot, and the error falls with every step. The last
+    moves scale each domain's rates so that the known sources come out right, whatever the predictions want.
     """
     size = len(targets)
-    m, t = F.col("membership"), F.col("tokens").cast("double")
-    gram = rows.agg(*[F.sum(t * m[i] * m[j]).alias(f"g{i}_{j}") for i in range(size) for j in range(i, size)]).head()
-    g = np.zeros((size, size))
-    for i in range(size):
-        for j in range(i, size):
-            g[i, j] = g[j, i] = gram[f"g{i}_{j}"] or 0.0
-    scale = np.linalg.pinv(g + np.eye(size) * 1e-9 * max(1.0, float(np.trace(g))))
-    steps: list[list[float]] = []
-    best: tuple[float, int] = (np.inf, 0)
-
-    def rate(moves: list[list[float]]) -> Column:
-        if not moves:
-            return F.lit(0.0)
-        lines = F.array(*[F.array(*[F.lit(float(x)) for x in move]) for move in moves])
-        return F.aggregate(
-            lines, F.lit(0.0), lambda r, g: F.least(F.col("cap"), F.greatest(F.lit(0.0), r + _dot(m, g)))
-        )
-
-    for _ in range(model.steps + 1):
-        totals = rows.select(t.alias("t"), m.alias("m"), rate(steps).alias("r")).agg(
-            *[F.sum(F.col("t") * F.col("r") * F.col("m")[i]).alias(f"s{i}") for i in range(size)]
-        )
-        reached = np.array([x or 0.0 for x in totals.head()])
-        residual = targets - reached
-        worst = float(np.abs(residual).max(initial=0) / max(1.0, targets.sum()))
-        if worst < best[0] * (1 - 1e-3):
-            best = (worst, len(steps))
-        elif len(steps) - best[1] >= 5:
+    every = Rates(size, np.ones(size), []).totals(rows)  # tokens at the caps
+    sums = rows.agg(*[F.sum(F.col("tokens") * F.col(c)[i]).alias(f"{c}{i}") for c in ("membership", "predicted") for i in range(size)]).head()
+    tokens = np.array([x or 0.0 for x in sums])
+    rates = Rates(size, np.divide(targets, every[0], out=np.zeros(size), where=every[0] > 0), [])
+    scale = np.divide(np.repeat([1.0, model.soft_weight**2], size), 2 * tokens, out=np.zeros(2 * size), where=tokens > 0)
+    total = max(1.0, targets.sum())
+    for _ in range(model.steps):
+        hard, soft = rates.totals(rows)
+        move = scale * np.concatenate([targets - hard, targets - soft])
+        if np.abs(move).max(initial=0) <= model.tolerance:
             break
-        if worst <= model.tolerance or len(steps) == model.steps:
+        rates.moves.append(("add", move))
+    for _ in range(2):
+        hard, _ = rates.totals(rows)
+        if np.abs(targets - hard).max(initial=0) <= 1e-6 * total:
             break
-        steps.append((scale @ residual).tolist())
-    return rate(steps[: best[1]])
+        rates.moves.append(("scale", np.divide(targets, hard, out=np.zeros(size), where=hard > 0)))
+    return rates
 
 
 def whole_copies(rated: DataFrame) -> Cut:
@@ -150,7 +189,7 @@ def whole_copies(rated: DataFrame) -> Cut:
     taken = (F.col("step") != 0) & (F.col("spent") + F.col("tokens") / 2 <= F.abs("left"))
     result = cut(
         fitted.withColumn("copies", F.col("copies") + F.when(taken, F.col("step")).otherwise(0)).select(
-            "doc_id", "source", "tokens", "membership", "rate", "copies"
+            "doc_id", "source", "tokens", "membership", "predicted", "rate", "copies"
         ),
         "copies",
     )
@@ -176,7 +215,8 @@ def mix(documents: DataFrame, weights: DataFrame, model: MixModel | None = None)
     source take part by their posterior over the sources, at most as often as the likeliest source with a weight allows;
     how likely they are of none of these lowers their rate, not their cap. Null, empty
     and tokenless texts get no copies. The total is the largest for which no source needs more than its max_repeats;
-    a source without documents can't be reached, and the others keep their proportions. Rates become whole copies by
+    a source without documents can't be reached, and the others keep their proportions. `shares` tells what was reached
+    by the known sources, by known and predicted sources together, and by the predictions alone. Rates become whole copies by
     systematic rounding along the documents of a source in order of length, so that its tokens come out right too.
     Null or non-positive weights count as 0, null max_repeats as 1.
     """
@@ -199,7 +239,9 @@ def mix(documents: DataFrame, weights: DataFrame, model: MixModel | None = None)
         "counted",
     )
     posteriors = domain_posteriors(counted.df, domains, model)
-    rows = cut(posteriors.withColumn("cap", _cap([c for _, _, c in asked])).where("tokens > 0"), "members")
+    counted.drop()
+    rows = cut(posteriors.df.withColumn("cap", _cap([c for _, _, c in asked])).where("tokens > 0"), "members")
+    posteriors.drop()
     m, t = F.col("membership"), F.col("tokens").cast("double")
     # what each source could give: its sure and its expected tokens under their caps
     room = rows.df.agg(*[F.sum(t * m[i] * F.col("cap")).alias(f"r{i}") for i in range(len(domains))]).head()
@@ -209,10 +251,9 @@ def mix(documents: DataFrame, weights: DataFrame, model: MixModel | None = None)
     share = usable / usable.sum() if usable.sum() > 0 else usable
     held = share > 0
     total = float((room[held] / share[held]).min()) if held.any() else 0.0
-    rate = fit_rates(rows.df, share * total, model)
-    rated = rows.df.select("doc_id", F.col("domain").alias("source"), "tokens", "membership", "cap", rate.alias("rate"))
+    rated = fit_rates(rows.df, share * total, model).applied(rows.df).withColumnRenamed("domain", "source")
     copies = whole_copies(rated)
-    counted.drop()
+    rows.drop()
     c = copies.df
     given = F.col("copies") * F.col("tokens")
     by_source = {
@@ -224,11 +265,11 @@ def mix(documents: DataFrame, weights: DataFrame, model: MixModel | None = None)
         )
         .collect()
     }
-    expected = c.agg(
-        F.count(F.lit(1)), *[F.sum(given * F.col("membership")[i]).alias(f"e{i}") for i in range(len(names))]
-    ).head()[1:]
+    sums = c.agg(*[F.sum(given * F.col(by)[i]).alias(f"{by}{i}") for by in ("membership", "predicted") for i in range(len(domains))]).head()
+    expected, predicted = sums[: len(domains)], sums[len(domains) :]
     named = sum((r["mixed"] or 0) for s, r in by_source.items() if s is not None)
-    soft = sum(x or 0.0 for x in expected)
+    soft = sum(x or 0.0 for x in expected[: len(names)])
+    guessed = sum(x or 0.0 for x in predicted)
     wanted = float(weight.sum())
     table = []
     for i, (s, w, cap) in enumerate(asked):
@@ -237,13 +278,13 @@ def mix(documents: DataFrame, weights: DataFrame, model: MixModel | None = None)
             (
                 s, w / wanted if wanted else 0.0, float(share[i]), int(r["documents"]) if r else 0, int(r["tokens"]) if r else 0,
                 int(r["mixed"] or 0) if r else 0, float(r["mixed"] or 0) / named if r and named else 0.0,
-                float(expected[i] or 0.0) / soft if soft else 0.0, cap, int(r["most"] or 0) if r else 0,
+                float(expected[i] or 0.0) / soft if soft else 0.0, float(predicted[i] or 0.0) / guessed if guessed else 0.0, cap, int(r["most"] or 0) if r else 0,
                 "no documents" if room[i] <= 0 else "reached" if w > 0 else "no weight",
             )
         )
     shares = documents.sparkSession.createDataFrame(
         table,
         "source string, target_share double, attainable_share double, documents bigint, tokens bigint, mixed_tokens bigint, "
-        "reached_share double, expected_share double, max_repeats int, most_copies int, state string",
+        "reached_share double, expected_share double, predicted_share double, max_repeats int, most_copies int, state string",
     )
-    return Mixture(c.select("doc_id", "source", "tokens", "rate", "copies"), shares, [rows, copies])
+    return Mixture(c.select("doc_id", "source", "tokens", "rate", "copies"), shares, [copies])

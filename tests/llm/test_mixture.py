@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parallaxa.llm.mixture import MixModel, fit_rates, mix
 
@@ -64,12 +65,43 @@ def test_no_documents_one_source_and_no_weights(spark):
     assert all(r.copies == 0 for r in copies)
 
 
-def test_rates_solve_the_least_squares_problem(spark):
+def rows_of(spark, p, q, t, cap):
+    data = [(i, int(t[i]), [float(x) for x in p[i]], [float(x) for x in q[i]], float(cap[i])) for i in range(len(t))]
+    return spark.createDataFrame(data, "doc_id int, tokens bigint, membership array<double>, predicted array<double>, cap double").repartition(3)
+
+
+def rates_of(rows, found):
+    kept = found.applied(rows.withColumn("domain", F.lit(None).cast("string"))).select("doc_id", "rate")
+    return np.array([r.rate for r in kept.orderBy("doc_id").collect()])
+
+
+def test_rates_reach_the_targets_and_lean_to_the_predictions(spark):
     rng = np.random.default_rng(2)
-    p = rng.dirichlet([0.3] * 3, 200)
-    t = rng.integers(1, 50, 200)
-    df = spark.createDataFrame([(i, int(t[i]), [float(x) for x in p[i]], 2.0) for i in range(200)], "doc_id int, tokens int, membership array<double>, cap double")
-    target = (p * t[:, None] * rng.uniform(0, 2, 200)[:, None]).sum(0)
-    rates = np.array([r.r for r in df.select("doc_id", fit_rates(df, target, MixModel()).alias("r")).orderBy("doc_id").collect()])
+    p = np.eye(3)[rng.integers(0, 3, 300)]
+    q = 0.6 * p + 0.4 * rng.dirichlet([0.3] * 3, 300)
+    t = rng.integers(1, 50, 300)
+    rows = rows_of(spark, p, q, t, np.full(300, 2.0))
+    target = np.array([900.0, 2000.0, 500.0])
+    rates = rates_of(rows, fit_rates(rows, target, MixModel()))
+    even = rates_of(rows, fit_rates(rows, target, MixModel(soft_weight=0.0)))
     assert rates.min() >= 0 and rates.max() <= 2
     assert np.abs((p * (t * rates)[:, None]).sum(0) - target).max() < 1e-3 * target.sum()
+    miss = lambda r: np.abs((q * (t * r)[:, None]).sum(0) - target).sum()
+    assert miss(rates) < 0.9 * miss(even)
+
+
+def test_error_falls_with_every_step_where_caps_are_met(spark):
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.3] * 3, 200)
+    t = rng.integers(1, 50, 200)
+    cap = rng.integers(1, 3, 200)
+    rows = rows_of(spark, p, p, t, cap)
+    target = (p * (t * cap)[:, None]).sum(0) * [1.0, 0.6, 0.2]
+    misses = []
+    for steps in (1, 3, 6, 12):
+        found = fit_rates(rows, target, MixModel(steps=steps))
+        found.moves = [m for m in found.moves if m[0] == "add"]
+        r = rates_of(rows, found)
+        assert r.min() >= 0 and (r <= cap).all()
+        misses.append((((p * (t * r)[:, None]).sum(0) - target) ** 2 / (p * t[:, None]).sum(0)).sum())
+    assert misses == sorted(misses, reverse=True) and misses[-1] < 0.5 * misses[0]

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from parallaxa.catalog.relational import feature_sets, match_results
 from parallaxa.catalog.statistics import _POINTS, points
-from parallaxa.functions.bits import hamming, words
+from parallaxa.functions.bits import words
 from parallaxa.functions.geometry import parallax, project, quaternion_of_rotation, rotation_of_quaternion, undistort
-from parallaxa.functions.vectors import all_finite, canonical_matrix, l2_distance, root_normalised
+from parallaxa.functions.vectors import all_finite, canonical_matrix, root_normalised
 from parallaxa.operators.grid import greedy_association, near_points
 from parallaxa.operators.lsh import best_candidates, evidence, postings
-from parallaxa.operators.matching import ratio_test, top_two
+from parallaxa.operators.matching import descriptor_blocks, ratio_test, two_nearest
+from parallaxa.plans.lineage import cut
 from parallaxa.plans.registry import Registry
 from parallaxa.plans.tables import table
 
@@ -47,27 +48,31 @@ def f01(spark, sf_dir):
     "j11_lsh_candidates",
     f"""WITH p AS (SELECT k.*, f.extractor_kind, f.extractor_version FROM {_KEYS} k
   JOIN (SELECT DISTINCT feature_set_id, extractor_kind, extractor_version FROM feature_sets) f USING (feature_set_id)),
-b AS (SELECT extractor_kind, extractor_version, table_no, bucket_key FROM p GROUP BY ALL HAVING count(*) <= 32),
+s AS (SELECT extractor_kind, extractor_version, max(max_bucket_postings) AS most, max(top_k) AS k FROM visual_index_tasks GROUP BY 1, 2),
+b AS (SELECT extractor_kind, extractor_version, table_no, bucket_key FROM p JOIN s USING (extractor_kind, extractor_version) GROUP BY ALL HAVING count(*) <= max(s.most)),
 u AS (SELECT p.* FROM p JOIN b USING (extractor_kind, extractor_version, table_no, bucket_key)),
 e AS (SELECT a.extractor_kind, a.extractor_version, a.feature_set_id AS query, c.feature_set_id AS candidate, count(DISTINCT a.feature_index) AS evidence
   FROM u a JOIN u c USING (extractor_kind, extractor_version, table_no, bucket_key) WHERE a.feature_set_id <> c.feature_set_id GROUP BY ALL),
-n AS (SELECT feature_set_id AS query, count(*) AS features FROM {_BINARY} GROUP BY 1),
+n AS (SELECT feature_set_id AS query, count(DISTINCT feature_index) AS features FROM {_BINARY} GROUP BY 1),
 r AS (SELECT e.*, round(e.evidence / n.features, 9) AS score, i.image_id, row_number() OVER (PARTITION BY e.extractor_kind, e.extractor_version, e.query
     ORDER BY round(e.evidence / n.features, 9) DESC, e.evidence DESC, i.image_id, e.candidate) AS place
   FROM e JOIN n USING (query) JOIN (SELECT DISTINCT feature_set_id AS candidate, image_id FROM feature_sets) i USING (candidate))
-SELECT query, candidate, evidence, score, place FROM r WHERE place <= 8""",
+SELECT query, candidate, evidence, score, place FROM r JOIN s USING (extractor_kind, extractor_version) WHERE place <= s.k""",
 )
 def j11(spark, sf_dir):
-    """The best candidate sets of every query set by shared buckets, within one extractor identity."""
-    rows = binary_descriptors(spark, sf_dir)
+    """The best candidate sets of every query set by shared buckets, within one extractor identity. Bucket keys are
+    computed once and written; the bound of the buckets and the number of candidates are the index settings'."""
     kind = ["extractor_kind", "extractor_version"]
     sets = feature_sets(spark, sf_dir, "feature_set_id", "image_id", *kind)
-    index = postings(rows, ["feature_set_id", "feature_index"], "w").join(sets.drop("image_id").distinct(), "feature_set_id")
-    found = evidence(index, kind, "feature_set_id", "feature_index", 32)
-    size = rows.groupBy(F.col("feature_set_id").alias("query")).agg(F.count(F.lit(1)).alias("features"))
+    keyed = postings(binary_descriptors(spark, sf_dir), ["feature_set_id", "feature_index"], "w").join(sets.drop("image_id").distinct(), "feature_set_id")
+    index = cut(keyed, "postings")
+    settings = table(spark, sf_dir, "visual_index_tasks").groupBy(*kind).agg(F.max("max_bucket_postings").alias("most"), F.max("top_k").alias("k"))
+    found = evidence(index.df, kind, "feature_set_id", "feature_index", settings.select(*kind, "most"))
+    size = index.df.where("table_no = 0").select("feature_set_id", "feature_index").distinct().groupBy(F.col("feature_set_id").alias("query")).agg(F.count(F.lit(1)).alias("features"))
     images = sets.select(F.col("feature_set_id").alias("candidate"), "image_id").distinct()
     scored = found.join(size, "query").join(images, "candidate").withColumn("score", F.round(F.col("evidence") / F.col("features"), 9))
-    return best_candidates(scored, kind, 8).select("query", "candidate", "evidence", "score", F.col("place").cast("bigint").alias("place"))
+    best = best_candidates(scored.join(settings.drop("most"), kind), kind, F.col("k"))
+    return best.select("query", "candidate", "evidence", "score", F.col("place").cast("bigint").alias("place"))
 
 
 _PAIRS = """(SELECT DISTINCT match_result_id AS pair_id, feature_set_id_a AS a, feature_set_id_b AS b FROM match_results
@@ -89,24 +94,22 @@ SELECT pair_id, query_index, train_index, round(distance, 6)::DOUBLE AS d1, d2 I
 FROM r WHERE place = 1"""
 
 
+def _ratio_matches(spark, sf_dir, descriptors, kind, payload, ratio):
+    blocks = descriptor_blocks(descriptors, "feature_set_id", "feature_index", kind, payload)
+    best = two_nearest(_set_pairs(spark, sf_dir), blocks)
+    return best.select("pair_id", "query_index", "train_index", F.round("d1", 6).alias("d1"), ratio_test(F.col("d1"), F.col("d2"), ratio).alias("accepted"))
+
+
 @REGISTRY.query("j09_binary_ratio_matches", _ratio_sql(_BINARY, "", "bit_count(xor(x.u::BIT, y.u::BIT))::DOUBLE", 0.75))
 def j09_binary(spark, sf_dir):
-    d = binary_descriptors(spark, sf_dir)
-    a = d.select(F.col("feature_set_id").alias("a"), F.col("feature_index").alias("query_index"), F.col("w").alias("wa"))
-    b = d.select(F.col("feature_set_id").alias("b"), F.col("feature_index").alias("train_index"), F.col("w").alias("wb"))
-    found = _set_pairs(spark, sf_dir).join(a, "a").join(b, "b").withColumn("distance", hamming(F.col("wa"), F.col("wb")))
-    best = top_two(found.select("pair_id", "query_index", "train_index", "distance"))
-    return best.select("pair_id", "query_index", "train_index", F.col("d1").cast("double").alias("d1"), ratio_test(F.col("d1"), F.col("d2"), 0.75).alias("accepted"))
+    rows = table(spark, sf_dir, "descriptors").where("descriptor_type = 1 and descriptor_dimension = 32 and octet_length(descriptor_u8) = 32")
+    rows = rows.select("feature_set_id", "feature_index", "descriptor_dimension", "descriptor_u8").distinct()
+    return _ratio_matches(spark, sf_dir, rows, "descriptor_dimension", "descriptor_u8", 0.75)
 
 
 @REGISTRY.query("j09_float_ratio_matches", _ratio_sql(_FLOAT, "AND y.d = x.d", "list_distance(x.f::DOUBLE[], y.f::DOUBLE[])", 0.7))
 def j09_float(spark, sf_dir):
-    d = float_descriptors(spark, sf_dir)
-    a = d.select(F.col("feature_set_id").alias("a"), F.col("feature_index").alias("query_index"), "d", F.col("f").alias("fa"))
-    b = d.select(F.col("feature_set_id").alias("b"), F.col("feature_index").alias("train_index"), "d", F.col("f").alias("fb"))
-    found = _set_pairs(spark, sf_dir).join(a, "a").join(b, ["b", "d"]).withColumn("distance", l2_distance(F.col("fa"), F.col("fb")))
-    best = top_two(found.select("pair_id", "query_index", "train_index", "distance"))
-    return best.select("pair_id", "query_index", "train_index", F.round("d1", 6).alias("d1"), ratio_test(F.col("d1"), F.col("d2"), 0.7).alias("accepted"))
+    return _ratio_matches(spark, sf_dir, float_descriptors(spark, sf_dir), "d", "f", 0.7)
 
 
 @REGISTRY.query(

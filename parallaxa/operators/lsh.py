@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parallaxa.functions.bits import KEY_BITS, TABLES, bucket_key
@@ -18,29 +18,24 @@ def postings(descriptors: DataFrame, keep: Sequence[str], word_column: str, tabl
     return descriptors.select(*keep, F.explode(entries).alias("p")).select(*keep, "p.table_no", "p.bucket_key")
 
 
-def usable_buckets(index: DataFrame, bucket: Sequence[str], most: int) -> DataFrame:
-    """Buckets with at most `most` postings, the asker's own included."""
-    return index.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") <= most)
-
-
-def evidence(index: DataFrame, space: Sequence[str], set_id: str, feature: str, most: int) -> DataFrame:
+def evidence(index: DataFrame, space: Sequence[str], set_id: str, feature: str, limits: DataFrame) -> DataFrame:
     """(space..., query, candidate, evidence): distinct query features that share a usable bucket with the candidate.
 
-    Buckets above `most` are dropped before the self-join, which bounds the pairs of a bucket.
+    `limits` (space..., most) bounds the postings of a bucket, the asker's own included; buckets above it, and those of
+    spaces without a limit, are dropped before the self-join, which bounds the pairs of a bucket.
     """
     bucket = [*space, "table_no", "bucket_key"]
-    kept = index.join(usable_buckets(index, bucket, most).drop("size"), bucket, "left_semi")
+    sizes = index.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size"), F.min(set_id).alias("first"), F.max(set_id).alias("last"))
+    # a bucket of one set pairs nobody
+    usable = sizes.join(limits, list(space)).where("size <= most and first <> last").select(*bucket)
+    kept = index.join(usable, bucket, "left_semi")
     asks = kept.select(*bucket, F.col(set_id).alias("query"), F.col(feature).alias("query_feature"))
     has = kept.select(*bucket, F.col(set_id).alias("candidate")).distinct()
-    return (
-        asks.join(has, bucket)
-        .where("query <> candidate")
-        .groupBy(*space, "query", "candidate")
-        .agg(F.count_distinct("query_feature").alias("evidence"))
-    )
+    met = asks.join(has, bucket).where("query <> candidate").select(*space, "query", "candidate", "query_feature").distinct()
+    return met.groupBy(*space, "query", "candidate").agg(F.count(F.lit(1)).alias("evidence"))
 
 
-def best_candidates(found: DataFrame, space: Sequence[str], k: int) -> DataFrame:
+def best_candidates(found: DataFrame, space: Sequence[str], k: Column | int) -> DataFrame:
     """The first k of each query by score, evidence, image and set id; `found` has score and image_id."""
     order = [F.desc("score"), F.desc("evidence"), F.asc("image_id"), F.asc("candidate")]
     w = Window.partitionBy(*space, "query").orderBy(*order)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parallaxa.plans.lineage import Cut, cut
@@ -51,26 +51,44 @@ def _band_hashes(bands: int, rows: int, seed: int):
     return F.arrow_udf(hashes, "array<bigint>")
 
 
-def _pairs_within(space: list[str], grouped: DataFrame) -> DataFrame:
-    """Pairs (a < b) of the bounded lists `ids`."""
+def _alike_in_size(a: Column, b: Column, threshold: float) -> Column:
+    """Whether sets of these sizes can be so similar at all."""
+    return F.least(a, b) >= F.lit(threshold - 1e-9) * F.greatest(a, b)
+
+
+def _pairs_within(space: list[str], grouped: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a < b) of the bounded lists `ids` (structs id, size) whose sizes allow the similarity."""
     ids = F.array_sort("ids")
     pairs = F.flatten(
         F.transform(
             ids,
             lambda a, i: F.transform(
-                F.slice(ids, i + 2, F.size(ids)), lambda b: F.struct(a.alias("a"), b.alias("b"))
+                F.filter(F.slice(ids, i + 2, F.size(ids)), lambda b: _alike_in_size(a["size"], b["size"], threshold)),
+                lambda b: F.struct(a["id"].alias("a"), b["id"].alias("b")),
             ),
         )
     )
     return grouped.where(F.size("ids") > 1).select(*space, F.explode(pairs).alias("p")).select(*space, "p.a", "p.b").distinct()
 
 
-def _prefix_pairs(sets: DataFrame, space: list[str], threshold: float) -> DataFrame:
-    """Exact candidates without hot buckets: records that share one of their rarest elements.
+def _joined_on(rows: DataFrame, key: list[str], space: list[str], threshold: float) -> DataFrame:
+    """Pairs (a < b) of rows (key, id, size) with one key and sizes that allow the similarity."""
+    a = rows.select(*key, F.col("id").alias("a"), F.col("size").alias("size_a"))
+    b = rows.select(*key, F.col("id").alias("b"), F.col("size").alias("size_b"))
+    met = a.join(b, key).where("a < b").where(_alike_in_size(F.col("size_a"), F.col("size_b"), threshold))
+    return met.select(*space, "a", "b")
+
+
+def _prefix_pairs(sets: DataFrame, space: list[str], threshold: float, most: int) -> DataFrame:
+    """Exact candidates without hot buckets: records that share one of their rarest elements, or two of them.
 
     Two sets of similarity t or more share an element among the first size - ceil(t * size) + 1 of each, in one
-    common order; with the rarest first, the lists per element stay short.
+    common order; with the rarest first, the lists per element stay short. Sets that share none but elements of more
+    than `most` records must, if their sizes ask for an overlap of two or more, share a second element among one more
+    of each: they meet on such pairs of elements. Sets too small for that are compared on the element alone.
     """
+    kinds, outer, space = sets.select(*space).schema, space, ["__space"]  # one text for the space, which joins on nulls too
+    sets = sets.withColumn("__space", F.to_json(F.struct(*outer)))
     flat = sets.select(*space, "id", F.explode("elements").alias("e"), F.size("elements").alias("size"))
     often = flat.groupBy(*space, "e").agg(F.count(F.lit(1)).alias("n"))
     ranked = (
@@ -79,9 +97,16 @@ def _prefix_pairs(sets: DataFrame, space: list[str], threshold: float) -> DataFr
         .agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("es"))
     )
     keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size")).cast("int") + 1
-    prefix = ranked.select(*space, "id", F.explode(F.slice("es", F.lit(1), keep)).alias("x")).select(*space, "id", F.col("x.e").alias("e"))
-    other = prefix.withColumnRenamed("id", "b")
-    return prefix.withColumnRenamed("id", "a").join(other, [*space, "e"]).where("a < b").select(*space, "a", "b").distinct()
+    listed = cut(ranked.select(*space, "id", "size", F.transform("es", lambda x: x["e"]).alias("es"), keep.alias("keep")), "ranked").df
+    prefix = listed.select(*space, "id", "size", F.explode(F.slice("es", F.lit(1), F.col("keep"))).alias("e"))
+    lists = prefix.groupBy(*space, "e").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).drop("n")
+    crowded = prefix.join(lists, [*space, "e"], "left_semi")
+    single = _joined_on(prefix.join(lists, [*space, "e"], "left_anti"), [*space, "e"], space, threshold)
+    small = _joined_on(crowded.where(F.col("size") <= (1 + threshold) / threshold), [*space, "e"], space, threshold)
+    again = listed.select(*space, "id", F.explode(F.slice("es", F.lit(1), F.col("keep") + 1)).alias("e2"))
+    double = crowded.join(again, [*space, "id"]).where("e <> e2")
+    found = single.union(small).union(_joined_on(double, [*space, "e", "e2"], space, threshold)).distinct()
+    return found.withColumn("__space", F.from_json("__space", kinds)).select(*[F.col("__space")[s].alias(s) for s in outer], "a", "b")
 
 
 @dataclass
@@ -140,23 +165,23 @@ def similar_sets(
     )
     whole = named.df.select(*space, F.col("class_id").alias("id"), "elements")
     banded = whole.select(
-        *space, "id", F.posexplode(_band_hashes(bands, rows, seed)(F.col("elements"))).alias("band", "hash")
+        *space, F.struct("id", F.size("elements").alias("size")).alias("id"), F.posexplode(_band_hashes(bands, rows, seed)(F.col("elements"))).alias("band", "hash")
     )
     bucket = [*space, "band", "hash"]
     if element_cap is not None and element_cap <= max_bucket:
-        candidates = _pairs_within(space, banded.groupBy(*bucket).agg(F.collect_list("id").alias("ids")))
+        candidates = _pairs_within(space, banded.groupBy(*bucket).agg(F.collect_list("id").alias("ids")), threshold)
     else:
         written = cut(banded, "bands")
         large = written.df.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_bucket).drop("n")
         large = large.select(*[F.col(s).alias(f"__{s}") for s in space], F.col("band").alias("__band"), F.col("hash").alias("__hash"))
         on = _same(space) & (F.col("band") == F.col("__band")) & (F.col("hash") == F.col("__hash"))
         small = written.df.join(large, on, "left_anti")
-        hot = written.df.join(large, on, "left_semi").select(*space, "id").distinct()
+        hot = written.df.join(large, on, "left_semi").select(*space, "id.id").distinct()
         hot = hot.select(*[F.col(s).alias(f"__{s}") for s in space], F.col("id").alias("__id"))
         hot_sets = whole.join(hot, _same(space) & (F.col("id") == F.col("__id")), "left_semi")
         candidates = (
-            _pairs_within(space, small.groupBy(*bucket).agg(F.collect_list("id").alias("ids")))
-            .union(_prefix_pairs(hot_sets, space, threshold))
+            _pairs_within(space, small.groupBy(*bucket).agg(F.collect_list("id").alias("ids")), threshold)
+            .union(_prefix_pairs(hot_sets, space, threshold, max_bucket))
             .distinct()
         )
 

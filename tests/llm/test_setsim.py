@@ -44,6 +44,7 @@ def test_random_sets_with_copies(spark, kw):
         base = rnd.choice([list(range(20)), list(range(10, 40)), list(range(60, 75)), [7]])
         own = base if i % 4 == 0 else [e if rnd.random() < 0.8 else rnd.randrange(500) for e in base]
         rows += [(i % 2, i, e) for e in own]
+    rows += [(None, 300 + i, e) for i in range(9) for e in (5, 6, 7 + i)]  # more than a small bucket holds, in the null space
     run(spark, rows + rows[:30] + [(None, 1, 5), (None, 2, 5), (0, None, 5), (0, 900, None), (1, -3, -8)], **kw)
 
 

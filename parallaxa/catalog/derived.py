@@ -12,7 +12,7 @@ from parallaxa.functions.classify import graded, pair_evidence, seed_of
 from parallaxa.functions.text import human_size, pressure_basis_points
 from parallaxa.operators.components import components
 from parallaxa.operators.merge import advance
-from parallaxa.operators.prefix import positions
+from parallaxa.operators.prefix import positions, prefix_scan
 from parallaxa.operators.scans import first_delivery, keyset_page, latest_by
 from parallaxa.plans.registry import Registry
 from parallaxa.plans.tables import table
@@ -238,9 +238,10 @@ def w11(spark, sf_dir):
 )
 def t03(spark, sf_dir):
     """Entries of a result in query, distance, train order, and whether each query occurs once."""
-    w = Window.partitionBy("match_result_id").orderBy("feature_index_a", "distance", "feature_index_b", "entry_index")
-    once = F.count(F.lit(1)).over(Window.partitionBy("match_result_id", "feature_index_a")) == 1
-    return valid_matches(spark, sf_dir).select("match_result_id", "entry_index", F.row_number().over(w).cast("bigint").alias("place"), once.alias("unique_query"))
+    rows = valid_matches(spark, sf_dir)
+    copies = rows.groupBy("match_result_id", "feature_index_a").agg((F.count(F.lit(1)) == 1).alias("unique_query"))
+    placed = positions(rows, ["match_result_id"], ["feature_index_a", "distance", "feature_index_b", "entry_index"], "n")
+    return placed.join(copies, ["match_result_id", "feature_index_a"]).select("match_result_id", "entry_index", (F.col("n") + 1).alias("place"), "unique_query")
 
 
 @REGISTRY.query(
@@ -275,14 +276,17 @@ def u07(spark, sf_dir):
 
 @REGISTRY.query(
     "u09_cursor_steps",
-    """SELECT user_id, event_id, CASE WHEN p IS NULL OR event_id = p + 0 THEN event_id ELSE greatest(p, event_id) END AS cursor
-FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)""",
+    """SELECT calibration_scope_id, reconstruction_id, ingested_at, greatest(coalesce(p, reconstruction_id), reconstruction_id) AS cursor, p IS NULL OR reconstruction_id > p AS moved
+FROM (SELECT *, max(reconstruction_id) OVER (PARTITION BY calibration_scope_id ORDER BY ingested_at, reconstruction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p
+  FROM (SELECT DISTINCT calibration_scope_id, reconstruction_id, ingested_at FROM incremental_reconstructions))""",
 )
 def u09(spark, sf_dir):
-    """Each key's monotone cursor after each of its rows, moved by compare-and-set from the one before."""
-    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", before.alias("p"))
-    return rows.select("user_id", "event_id", F.coalesce(advance(F.col("p"), F.col("event_id"), F.col("p")), F.col("event_id")).alias("cursor"))
+    """The monotone cursor of each scope after each delivery, and whether the delivery moved it: late rows do not."""
+    rows = table(spark, sf_dir, "incremental_reconstructions").select("calibration_scope_id", "reconstruction_id", "ingested_at").distinct()
+    scanned, _ = prefix_scan(rows, ["calibration_scope_id"], ["ingested_at", "reconstruction_id"], {"p": ("max", "reconstruction_id")})
+    cursor = advance(F.col("p"), F.col("reconstruction_id"), F.col("p"))
+    moved = F.col("p").isNull() | (F.col("reconstruction_id") > F.col("p"))
+    return scanned.select("calibration_scope_id", "reconstruction_id", "ingested_at", cursor.alias("cursor"), moved.alias("moved"))
 
 
 @REGISTRY.query(

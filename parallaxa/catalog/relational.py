@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parallaxa.functions.text import ascii_contains, natural_key, normalized_relative
 from parallaxa.operators.merge import divides, guarded, insert_new, upsert_state
 from parallaxa.operators.pairs import mutual_unique, ordered_pairs, unique_best
+from parallaxa.operators.prefix import positions
 from parallaxa.operators.scans import content_assets, identity, keyset_page
 from parallaxa.plans.registry import Registry
 from parallaxa.plans.tables import table
@@ -293,15 +294,10 @@ def j17(spark, sf_dir):
 )
 def t04(spark, sf_dir):
     """Positions in two user orders, from distributed sorts rather than one global window."""
-    from parallaxa.operators.prefix import prefix_sum
-
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", (-F.col("p_size")).alias("down"), F.lit(1).alias("one"))
-    part = part.withColumn("all", F.lit(0))
-    by_name, _ = prefix_sum(part, ["all"], ["p_name", "p_partkey"], "one", "n")
-    by_size, _ = prefix_sum(part, ["all"], ["down", "p_name", "p_partkey"], "one", "n")
-    return by_name.select("p_partkey", (F.col("n") + 1).cast("bigint").alias("by_name")).join(
-        by_size.select("p_partkey", (F.col("n") + 1).cast("bigint").alias("by_size")), "p_partkey"
-    )
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", (-F.col("p_size")).alias("down"))
+    by_name = positions(part, [], ["p_name", "p_partkey"], "n").select("p_partkey", (F.col("n") + 1).alias("by_name"))
+    by_size = positions(part, [], ["down", "p_name", "p_partkey"], "n").select("p_partkey", (F.col("n") + 1).alias("by_size"))
+    return by_name.join(by_size, "p_partkey")
 
 
 @REGISTRY.query(
@@ -309,10 +305,9 @@ def t04(spark, sf_dir):
     """SELECT s_nationkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY regexp_extract(s_name, '[0-9]+')::BIGINT, s_name) AS place FROM supplier""",
 )
 def t08(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("s_nationkey").orderBy(natural_key(F.col("s_name")), "s_name")
-    return table(spark, sf_dir, "supplier").select("s_nationkey", "s_name", F.row_number().over(w).cast("bigint").alias("place"))
+    rows = table(spark, sf_dir, "supplier").select("s_nationkey", "s_name", natural_key(F.col("s_name")).alias("key"))
+    placed = positions(rows, ["s_nationkey"], ["key", "s_name"], "n")
+    return placed.select("s_nationkey", "s_name", (F.col("n") + 1).alias("place"))
 
 
 @REGISTRY.query(
@@ -387,20 +382,23 @@ def u05(spark, sf_dir):
 
 @REGISTRY.query(
     "u06_upsert_states",
-    """WITH stored AS (SELECT feature_set_id, min_by(coverage_ratio, ingested_at) AS c, min(ingested_at) AS at FROM feature_sets GROUP BY 1)
-SELECT f.feature_set_id, f.ingested_at, CASE WHEN f.ingested_at = s.at THEN 'new' ELSE 'same' END AS state
-FROM feature_sets f JOIN stored s ON s.feature_set_id = f.feature_set_id
-WHERE f.ingested_at >= TIMESTAMP '2023-01-01'""",
+    """WITH d AS (SELECT DISTINCT least(feature_set_id_a, feature_set_id_b) AS a, greatest(feature_set_id_a, feature_set_id_b) AS b, match_result_id, matcher_kind, match_count, ingested_at
+  FROM match_results WHERE feature_set_id_a IS NOT NULL AND feature_set_id_b IS NOT NULL),
+s AS (SELECT a, b, min(struct_pack(at := ingested_at, id := match_result_id, k := matcher_kind, n := match_count)) AS s FROM d GROUP BY 1, 2)
+SELECT d.match_result_id, d.ingested_at, CASE WHEN d.ingested_at = s.s.at AND d.match_result_id = s.s.id THEN 'new'
+  WHEN d.matcher_kind IS NOT DISTINCT FROM s.s.k AND d.match_count IS NOT DISTINCT FROM s.s.n THEN 'same' ELSE 'conflict' END AS state
+FROM d JOIN s ON s.a = d.a AND s.b = d.b""",
 )
 def u06(spark, sf_dir):
-    """Each delivery against what the deliveries before it stored; equal content again is idempotent."""
-    rows = table(spark, sf_dir, "feature_sets").select("feature_set_id", "image_id", "feature_count", "ingested_at")
-    first = rows.groupBy("feature_set_id").agg(F.min("ingested_at").alias("ingested_at"))
-    stored = rows.join(first, ["feature_set_id", "ingested_at"], "left_semi").dropDuplicates(["feature_set_id"])
-    later = rows.join(first, ["feature_set_id", "ingested_at"], "left_anti")
-    again = upsert_state(stored, later.drop("ingested_at").withColumn("at", F.lit(0)), ["feature_set_id"], ["image_id", "feature_count"])
-    states = later.select("feature_set_id", "ingested_at").join(again.distinct(), "feature_set_id")
-    return states.unionByName(rows.join(first, ["feature_set_id", "ingested_at"], "left_semi").select("feature_set_id", "ingested_at", F.lit("new").alias("state")))
+    """Each delivered result of a pair of sets against the one stored first: equal content is idempotent, other content
+    a conflict."""
+    rows = table(spark, sf_dir, "match_results").where("feature_set_id_a is not null and feature_set_id_b is not null")
+    a, b = F.least("feature_set_id_a", "feature_set_id_b"), F.greatest("feature_set_id_a", "feature_set_id_b")
+    rows = rows.select(a.alias("a"), b.alias("b"), "match_result_id", "matcher_kind", "match_count", "ingested_at").distinct()
+    first = rows.groupBy("a", "b").agg(F.min(F.struct("ingested_at", "match_result_id", "matcher_kind", "match_count")).alias("s")).select("a", "b", "s.*")
+    later = rows.join(first.select("match_result_id", "ingested_at"), ["match_result_id", "ingested_at"], "left_anti")
+    states = upsert_state(first, later, ["a", "b"], ["matcher_kind", "match_count"], ["match_result_id", "ingested_at"])
+    return states.drop("a", "b").unionByName(first.select("match_result_id", "ingested_at", F.lit("new").alias("state")))
 
 
 @REGISTRY.query(

@@ -12,6 +12,8 @@ from parallaxa.operators.grid import coverage, quota_selection
 from parallaxa.operators.metrics import exact_median, gates, holdout, huber_cost, rmse, upper_median
 from parallaxa.operators.pairs import shared_count
 from parallaxa.operators.progress import last_samples, monotone_delta, percent_done, smoothed_rate, streaks
+from parallaxa.operators.prefix import positions
+from parallaxa.operators.scans import scope_hash
 from parallaxa.plans.registry import Registry
 from parallaxa.plans.tables import table
 
@@ -229,15 +231,14 @@ def a23(spark, sf_dir):
 
 @REGISTRY.query(
     "a26_scope_hash",
-    """SELECT scanset_id, sha256('SCOPE001' || string_agg(feature_set_id::VARCHAR, ',' ORDER BY feature_set_id)) AS scope_hash
-FROM (SELECT DISTINCT scanset_id, feature_set_id FROM feature_sets) GROUP BY 1""",
+    """WITH b AS (SELECT scanset_id, feature_set_id // 4096 AS block, sha256(string_agg(feature_set_id::VARCHAR, ',' ORDER BY feature_set_id)) AS h
+  FROM (SELECT DISTINCT scanset_id, feature_set_id FROM feature_sets WHERE feature_set_id IS NOT NULL) GROUP BY 1, 2),
+c AS (SELECT scanset_id, block // 4096 AS block, sha256(string_agg(block || ':' || h, ',' ORDER BY block)) AS h FROM b GROUP BY 1, 2)
+SELECT scanset_id, sha256('SCOPE001' || string_agg(block || ':' || h, ',' ORDER BY block)) AS scope_hash FROM c GROUP BY 1""",
 )
 def a26(spark, sf_dir):
-    """Identity of a frozen input: a hash over its ids in order."""
-    ids = F.array_sort(F.collect_set("feature_set_id"))
-    return table(spark, sf_dir, "feature_sets").groupBy("scanset_id").agg(
-        F.sha2(F.concat(F.lit("SCOPE001"), F.array_join(ids.cast("array<string>"), ",")), 256).alias("scope_hash")
-    )
+    """Identity of a frozen input: a hash over the ordered hashes of its blocks of ids."""
+    return scope_hash(table(spark, sf_dir, "feature_sets"), "scanset_id", "feature_set_id", "SCOPE001")
 
 
 @REGISTRY.query(
@@ -257,11 +258,7 @@ FROM (SELECT DISTINCT scanset_id, feature_set_id FROM feature_sets)""",
 )
 def w04(spark, sf_dir):
     """Positions 0 to n - 1 of a group; a scan set may be of any size, so they come from prefix sums over blocks."""
-    from parallaxa.operators.prefix import prefix_sum
-
-    rows = feature_sets(spark, sf_dir, "scanset_id", "feature_set_id").withColumn("one", F.lit(1))
-    found, _ = prefix_sum(rows, ["scanset_id"], ["feature_set_id"], "one", "position")
-    return found.select("scanset_id", "feature_set_id", F.col("position").cast("bigint").alias("position"))
+    return positions(feature_sets(spark, sf_dir, "scanset_id", "feature_set_id"), ["scanset_id"], ["feature_set_id"], "position")
 
 
 @REGISTRY.query(

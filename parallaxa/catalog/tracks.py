@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parallaxa.catalog.relational import feature_sets, match_results
 from parallaxa.catalog.statistics import _VALID, valid_matches
-from parallaxa.functions.bits import pack_bits, set_bits
+from parallaxa.functions.bits import inlier_masks
 from parallaxa.operators.components import accepted_tracks, components, pair_components
 from parallaxa.operators.integrity import all_checks, duplicate_keys, orphans, rule_violations, structural_mask, underconstrained
 from parallaxa.plans.registry import Registry
@@ -78,15 +78,16 @@ def s07_tracks(spark, sf_dir):
 
 @REGISTRY.query(
     "g04_inlier_masks",
-    f"""SELECT match_result_id, entry_index::INT AS entry_index FROM {_VALID} WHERE distance < 100 GROUP BY ALL""",
+    f"""WITH i AS (SELECT DISTINCT match_result_id AS id, entry_index AS e FROM {_VALID} WHERE distance < 100 AND entry_index >= 0),
+b AS (SELECT id, e // 32768 AS part, (e % 32768) // 8 AS byte, sum(1 << (e % 8)::INT)::INT AS v, count(*) AS n FROM i GROUP BY 1, 2, 3),
+m AS (SELECT id, part, max(byte) AS last, sum(n)::BIGINT AS inliers FROM b GROUP BY 1, 2)
+SELECT m.id AS match_result_id, m.part, m.inliers, string_agg(printf('%02X', coalesce(b.v, 0)), '' ORDER BY r.byte) AS mask
+FROM m CROSS JOIN LATERAL (SELECT unnest(range(m.last + 1)) AS byte) r LEFT JOIN b ON b.id = m.id AND b.part = m.part AND b.byte = r.byte GROUP BY 1, 2, 3""",
 )
 def g04(spark, sf_dir):
-    """Inliers packed into one bit mask a result, and the masks unpacked into edges again."""
-    inliers = valid_matches(spark, sf_dir).where("distance < 100").select("match_result_id", F.col("entry_index").cast("int").alias("entry_index"))
-    lists = inliers.groupBy("match_result_id").agg(F.collect_set("entry_index").alias("is"))
-    flags = F.transform(F.sequence(F.lit(0), F.array_max("is")), lambda i: F.array_contains("is", i))
-    masks = lists.select("match_result_id", F.unhex(pack_bits(flags)).alias("mask"))
-    return masks.select("match_result_id", F.explode(set_bits(F.col("mask"))).alias("entry_index"))
+    """Inliers packed into bit masks, lowest bit first, one for every 32,768 entries of a result."""
+    inliers = valid_matches(spark, sf_dir).where("distance < 100 and entry_index >= 0").select("match_result_id", "entry_index").distinct()
+    return inlier_masks(inliers, "match_result_id", "entry_index")
 
 
 @REGISTRY.query(

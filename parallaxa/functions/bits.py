@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the key scheme: bit b of the key of table t is descriptor bit (t * 41 + b * 11) mod 256.
@@ -69,3 +69,14 @@ def pack_bits(flags: Column) -> Column:
     return F.when(F.size(flags) == 0, F.lit("")).otherwise(
         F.array_join(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.lpad(F.hex(one(i)), 2, "0")), "")
     )
+
+
+def inlier_masks(positions: DataFrame, key: str, position: str) -> DataFrame:
+    """(key, part, inliers, mask): the distinct positions of a key as hex masks of whole bytes, cut off after the last set
+    bit; bit i of part p stands for position 32768 p + i."""
+    span = 32_768
+    part = F.floor(F.col(position) / span).alias("part")
+    masks = positions.groupBy(key, part).agg(
+        F.count(F.lit(1)).alias("inliers"), F.hex(F.bitmap_construct_agg(F.col(position) % span)).alias("mask")
+    )
+    return masks.withColumn("mask", F.regexp_replace("mask", "(00)+$", ""))

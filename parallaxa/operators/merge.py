@@ -21,8 +21,8 @@ def insert_new(existing: DataFrame, incoming: DataFrame, key: Sequence[str]) ->
     return fresh.join(existing, _same(fresh, existing, key), "left_anti")
 
 
-def upsert_state(existing: DataFrame, incoming: DataFrame, key: Sequence[str], content: Sequence[str]) -> DataFrame:
-    """(key..., state) of every incoming row: new, same, or conflict if the stored content differs (nulls are equal)."""
+def upsert_state(existing: DataFrame, incoming: DataFrame, key: Sequence[str], content: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """(key..., keep..., state) of every incoming row: new, same, or conflict if the stored content differs (nulls are equal)."""
     stored = existing.select(*[F.col(c).alias(f"__{c}") for c in (*key, *content)], F.lit(True).alias("__there"))
     on = F.lit(True)
     for c in key:
@@ -31,7 +31,7 @@ def upsert_state(existing: DataFrame, incoming: DataFrame, key: Sequence[str], c
     for c in content:
         equal = equal & F.col(c).eqNullSafe(F.col(f"__{c}"))
     return incoming.join(stored, on, "left").select(
-        *key, F.when(F.col("__there").isNull(), "new").when(equal, "same").otherwise("conflict").alias("state")
+        *key, *keep, F.when(F.col("__there").isNull(), "new").when(equal, "same").otherwise("conflict").alias("state")
     )
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parallaxa.operators.prefix import positions
+
 
 def rmse(error: Column) -> Column:
     return F.sqrt(F.avg(error * error))
@@ -18,12 +20,11 @@ def exact_median(x: Column) -> Column:
 
 
 def upper_median(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
-    """Element n div 2 of the sorted values, by ranks, so that no group is collected."""
-    w = Window.partitionBy(*group)
-    ranked = df.where(F.col(value).isNotNull()).select(
-        *group, value, F.row_number().over(w.orderBy(value)).alias("__place"), F.count(F.lit(1)).over(w).alias("__n")
-    )
-    return ranked.where(F.expr("__place = __n div 2 + 1")).select(*group, F.col(value).alias(out))
+    """Element n div 2 of the sorted values, by positions over range blocks, so that no group is one task's."""
+    rows = df.where(F.col(value).isNotNull()).select(*group, value).withColumn("__copy", F.monotonically_increasing_id())
+    placed = positions(rows, group, [value, "__copy"], "__place")
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    return placed.join(sizes, list(group)).where(F.expr("__place = __n div 2")).select(*group, F.col(value).alias(out))
 
 
 def huber_cost(squared: Column) -> Column:
@@ -32,9 +33,8 @@ def huber_cost(squared: Column) -> Column:
 
 
 def holdout(df: DataFrame, strata: Sequence[str], order: Sequence[str], every: int = 5, out: str = "holdout") -> DataFrame:
-    """Every fifth row of a stratum, by rank in `order`, is held out."""
-    place = F.row_number().over(Window.partitionBy(*strata).orderBy(*order)) - 1
-    return df.withColumn(out, place % every == every - 1)
+    """Every fifth row of a stratum, by position in `order`, is held out; a stratum may be of any size."""
+    return positions(df, strata, order, "__place").withColumn(out, F.col("__place") % every == every - 1).drop("__place")
 
 
 def gates(checks: dict[str, Column]) -> Column:

@@ -7,14 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parallaxa.operators.prefix import prefix_scan
+
 #: Fixed values of the smoothed rate: weights of the past and of the new sample, seconds until a task counts as stalled.
 KEEP, TAKE, STALL_SECONDS = 0.65, 0.35, 5
 
 
 def monotone_delta(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
     """Difference to the previous sample, null for the first and where the counter went back."""
-    before = F.lag(value).over(Window.partitionBy(*key).orderBy(*order))
-    return df.withColumn(out, F.when(F.col(value) >= before, F.col(value) - before))
+    scanned, _ = prefix_scan(df, key, order, {"__before": ("previous", value)})
+    return scanned.withColumn(out, F.when(F.col(value) >= F.col("__before"), F.col(value) - F.col("__before"))).drop("__before")
 
 
 def last_samples(df: DataFrame, key: Sequence[str], order: Sequence[str], n: int, aggs: dict[str, Column]) -> DataFrame:
@@ -28,38 +30,41 @@ def last_samples(df: DataFrame, key: Sequence[str], order: Sequence[str], n: int
 def smoothed_rate(df: DataFrame, key: str, order: Sequence[str], seconds: str, completed: str) -> DataFrame:
     """(key, rate, positive, last_completed): a smoothed rate over the samples of a key in order.
 
-    Only positive work over positive time moves the rate; work or time that goes back starts afresh.
+    Only positive work over positive time moves the rate; work or time that goes back starts afresh. The rate after n
+    moves since the last fresh start is a weighted sum of them: the first counts whole, each later one with TAKE, and
+    all fade by KEEP for every move after them. So the fold is two scans over range blocks and one sum, whatever the
+    number of samples of a key.
     """
-    zero = F.struct(
-        F.lit(None).cast("double").alias("s"), F.lit(None).cast("double").alias("c"), F.lit(0.0).alias("rate"), F.lit(0).cast("bigint").alias("positive")
+    rows = df.select(key, *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.col(seconds).cast("double").alias("s"), F.col(completed).cast("double").alias("c"))
+    place = [f"o{i}" for i in range(len(order))]
+    seen, _ = prefix_scan(rows.withColumn("one", F.lit(1)), [key], place, {"s0": ("previous", "s"), "c0": ("previous", "c"), "n": ("sum", "one")})
+    fresh = F.col("s0").isNull() | (F.col("c") < F.col("c0")) | (F.col("s") < F.col("s0"))
+    moves = ~fresh & (F.col("c") > F.col("c0")) & (F.col("s") > F.col("s0"))
+    steps = seen.select(
+        key, *place, "c", "n", fresh.alias("fresh"), moves.cast("bigint").alias("move"), F.when(moves, (F.col("c") - F.col("c0")) / (F.col("s") - F.col("s0"))).alias("x")
     )
-
-    def step(a: Column, x: Column) -> Column:
-        back = a["s"].isNull() | (x["c"] < a["c"]) | (x["s"] < a["s"])
-        moves = (x["c"] > a["c"]) & (x["s"] > a["s"])
-        rate = (x["c"] - a["c"]) / F.when(x["s"] > a["s"], x["s"] - a["s"])
-        return F.struct(
-            x["s"].alias("s"),
-            x["c"].alias("c"),
-            F.when(back, 0.0).when(moves, F.when(a["positive"] == 0, rate).otherwise(a["rate"] * KEEP + rate * TAKE)).otherwise(a["rate"]).alias("rate"),
-            F.when(back, F.lit(0)).when(moves, a["positive"] + 1).otherwise(a["positive"]).cast("bigint").alias("positive"),
-        )
-
-    samples = F.array_sort(
-        F.collect_list(F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.col(seconds).cast("double").alias("s"), F.col(completed).cast("double").alias("c")))
+    counted, _ = prefix_scan(steps, [key], place, {"moves": ("sum", "move")})
+    last = counted.groupBy(key).agg(
+        F.max_by("c", "n").alias("last_completed"),
+        F.max_by(F.struct("n", F.col("moves").alias("m")), F.when(F.col("fresh"), F.col("n"))).alias("start"),
+        F.sum("move").alias("all"),
     )
-    folded = df.groupBy(key).agg(F.aggregate(samples, zero, step).alias("a"))
-    return folded.select(key, F.col("a.rate").alias("rate"), F.col("a.positive").alias("positive"), F.col("a.c").alias("last_completed"))
+    since = counted.where("move = 1").join(last.select(key, "start", "all"), key).where("n > start.n")
+    nth = F.col("moves") - F.col("start.m")
+    weight = F.pow(F.lit(KEEP), F.col("all") - F.col("moves") - 1) * F.when(nth == 0, 1.0).otherwise(TAKE)
+    rates = since.groupBy(key).agg(F.sum(F.col("x") * weight).alias("rate"), F.count(F.lit(1)).alias("positive"))
+    found = last.join(rates, key, "left")
+    return found.select(key, F.coalesce("rate", F.lit(0.0)).alias("rate"), F.coalesce("positive", F.lit(0)).cast("bigint").alias("positive"), "last_completed")
 
 
 def streaks(df: DataFrame, key: Sequence[str], order: Sequence[str], flag: Column, out: str) -> DataFrame:
     """Length of the run of equal flags that ends at each row (gaps and islands)."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    marked = df.withColumn("__flag", F.coalesce(flag, F.lit(False)))
-    marked = marked.withColumn("__new", F.coalesce((F.lag("__flag").over(w) != F.col("__flag")).cast("int"), F.lit(1)))
-    marked = marked.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.row_number().over(Window.partitionBy(*key, "__run").orderBy(*order))
-    return marked.withColumn(out, place.cast("bigint")).drop("__flag", "__new", "__run")
+    marked = df.withColumn("__flag", F.coalesce(flag, F.lit(False))).withColumn("__one", F.lit(1))
+    before, _ = prefix_scan(marked, key, order, {"__last": ("previous", "__flag"), "__n": ("sum", "__one")})
+    begins = F.col("__last").isNull() | (F.col("__last") != F.col("__flag"))
+    begun = before.withColumn("__at", F.when(begins, F.col("__n")))
+    runs, _ = prefix_scan(begun, key, order, {"__start": ("max", "__at")})
+    return runs.withColumn(out, (F.col("__n") - F.coalesce("__at", "__start") + 1).cast("bigint")).drop("__flag", "__one", "__last", "__n", "__at", "__start")
 
 
 def percent_done(done: Column, total: Column) -> Column:

@@ -49,3 +49,16 @@ def content_assets(df: DataFrame, content: str, key: str) -> DataFrame:
     """Content-addressed publication: (sha256, first key, copies) of every distinct content; null contents are none."""
     rows = df.where(F.col(content).isNotNull()).withColumn("sha256", F.sha2(F.col(content), 256))
     return rows.groupBy("sha256").agg(F.min(key).alias("first_key"), F.count(F.lit(1)).alias("copies"))
+
+
+def scope_hash(df: DataFrame, group: str, id_column: str, magic: str, fan: int = 4096) -> DataFrame:
+    """(group, scope_hash): SHA-256 over a magic and the distinct ids of a group in order, by blocks of `fan` ids and
+    blocks of `fan` blocks, so that no row ever holds a whole group. Null ids are left out."""
+    level = df.where(F.col(id_column).isNotNull()).select(group, F.col(id_column).cast("bigint").alias("at")).distinct()
+    level = level.withColumn("text", F.col("at").cast("string"))
+    for _ in range(2):
+        parts = F.array_sort(F.collect_list(F.struct("at", "text")))
+        level = level.groupBy(group, F.floor(F.col("at") / fan).alias("block")).agg(F.sha2(F.array_join(F.transform(parts, lambda p: p["text"]), ","), 256).alias("h"))
+        level = level.select(group, F.col("block").alias("at"), F.concat_ws(":", F.col("block").cast("string"), "h").alias("text"))
+    parts = F.array_sort(F.collect_list(F.struct("at", "text")))
+    return level.groupBy(group).agg(F.sha2(F.concat(F.lit(magic), F.array_join(F.transform(parts, lambda p: p["text"]), ",")), 256).alias("scope_hash"))

@@ -125,18 +125,6 @@ def g06_structural(spark, sf_dir):
     return structural_mask(rows, "component", "camera", "landmark")
 
 
-@REGISTRY.query(
-    "q01_component_keys",
-    f"""WITH RECURSIVE e AS ({_SET_EDGES}), l AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
-reach AS (SELECT u AS node, u AS low FROM l UNION SELECT l.v, r.low FROM reach r JOIN l ON l.u = r.node WHERE r.low < l.v),
-t AS (SELECT node, min(low) AS component FROM reach GROUP BY 1)
-SELECT component, count(*) AS members, min(node) = component AS keyed FROM t GROUP BY 1""",
-)
-def q01(spark, sf_dir):
-    """Each component is named by its smallest member."""
-    return g01(spark, sf_dir).groupBy("component").agg(F.count(F.lit(1)).alias("members"), (F.min("feature_set_id") == F.col("component")).alias("keyed"))
-
-
 @REGISTRY.query(
     "q04_references",
     """SELECT 'entry_without_result' AS rule, count(DISTINCT match_result_id) AS violations FROM matches m

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parallaxa.functions.bits import KEY_BITS, TABLES, bucket_key
+from parallaxa.plans.lineage import Cut, cut
 
 
 def postings(descriptors: DataFrame, keep: Sequence[str], word_column: str, tables: int = TABLES, key_bits: int = KEY_BITS) -> DataFrame:
@@ -40,3 +41,16 @@ def best_candidates(found: DataFrame, space: Sequence[str], k: Column | int) ->
     order = [F.desc("score"), F.desc("evidence"), F.asc("image_id"), F.asc("candidate")]
     w = Window.partitionBy(*space, "query").orderBy(*order)
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def pending_members(due: DataFrame, held: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Members that an index should hold and doesn't yet."""
+    return due.join(held, list(key), "left_anti")
+
+
+def published_generation(new: DataFrame, generation: int) -> Cut:
+    """A new, immutable generation (visual_index_id, generation, table_no, bucket_key, feature_set_id, feature_index): files
+    that each hold a stretch of the total order of postings, sorted by it, so that a bucket is one range of one file."""
+    order = ["visual_index_id", "table_no", "bucket_key", "feature_set_id", "feature_index"]
+    rows = new.select("visual_index_id", F.lit(generation).alias("generation"), *order[1:])
+    return cut(rows.repartitionByRange(*order).sortWithinPartitions(*order), f"generation-{generation}")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from parallaxa.catalog.relational import feature_sets, match_results
 from parallaxa.operators.lineage import affected_groups, merged_keys
+from parallaxa.plans.lineage import Folder
 from parallaxa.plans.registry import Registry
 from parallaxa.plans.tables import table
-from parallaxa.streaming.cursor import Sink, micro_batches, pipeline_folder, windowed_counts
+from parallaxa.streaming.cursor import Sink, micro_batches, windowed_counts
 
 REGISTRY = Registry()
 
@@ -22,7 +21,7 @@ REGISTRY = Registry()
 def st01(spark, sf_dir):
     """Events through durable batches: what was published, read back, is the whole input once."""
     schema = table(spark, sf_dir, "events").schema
-    folder = pipeline_folder(spark, f"events-{uuid.uuid4().hex[:12]}")
+    folder = Folder(spark, "events").path
     sink = Sink(f"{folder}/rows")
     micro_batches(
         spark, f"{sf_dir}/events.parquet*", schema, sink, f"{folder}/cursor", lambda rows: rows.select("event_id", "user_id", "event_type")

@@ -1,4 +1,4 @@
-"""Binary payload files: match files and feature files, decoded from bytes that Spark read."""
+"""Binary payload files: match and scope files, decoded from bytes that Spark read; discovery of source files."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parallaxa.operators.prefix import prefix_sum
@@ -20,8 +20,6 @@ MATCH_HEADER = np.dtype(
 MATCH_ENTRY = np.dtype([("ia", "<u4"), ("ib", "<u4"), ("distance", "<f4")])
 MATCH_DIMENSIONS = {1: 32, 2: 128}
 MOST_MATCHES = 8192
-KEYPOINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("size", "<f4"), ("angle", "<f4"), ("response", "<f4"), ("octave", "<i4")])
-FEATURE_OFFSETS = {1: {"size": 160, "type": 24, "descriptors": 48, "total": 56}, 2: {"size": 176, "type": 24, "descriptors": 56, "total": 64}}
 
 
 def match_bytes(a: int, b: int, kind: int, entries: np.ndarray) -> bytes:
@@ -115,53 +113,77 @@ def decode_matches(files: DataFrame, key: str) -> DataFrame:
     return files.select(*columns).mapInArrow(unpack, schema)
 
 
-def feature_rows(content: bytes) -> pd.DataFrame | None:
-    """Keypoints and descriptors of a feature file of version 1 or 2; None if the bytes are no such file."""
-    if len(content) < 160:
-        return None
-    u32 = lambda at: int.from_bytes(content[at : at + 4], "little")
-    u64 = lambda at: int.from_bytes(content[at : at + 8], "little")
-    layout = FEATURE_OFFSETS.get(u32(8))
-    if layout is None or u32(12) != layout["size"] or u64(layout["total"]) != len(content):
-        return None
-    count, dimension, kind = u32(16), u32(20), u32(24)
-    at = u64(layout["descriptors"])
-    scalar = "u1" if kind == 1 else "<f4"
-    if at != layout["size"] + count * KEYPOINT.itemsize or len(content) != at + count * dimension * np.dtype(scalar).itemsize:
-        return None
-    points = np.frombuffer(content, KEYPOINT, count, layout["size"])
-    matrix = np.frombuffer(content, scalar, count * dimension, at).reshape(count, dimension)
-    out = pd.DataFrame({n: points[n] for n in KEYPOINT.names})
-    out.insert(0, "feature_index", np.arange(count))
-    out["descriptor_u8"] = [m.tobytes() for m in matrix] if kind == 1 else None
-    out["descriptor_f32"] = [m.astype(float).tolist() for m in matrix] if kind == 2 else None
-    return out
-
-
-def read_feature_files(spark: SparkSession, path: str) -> DataFrame:
-    """Exploded rows of the feature files below `path`; files that are none are left out."""
-    schema = (
-        "path string, feature_index bigint, x float, y float, size float, angle float, response float, octave int, "
-        "descriptor_u8 binary, descriptor_f32 array<float>"
-    )
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for p, content in zip(batch["path"], batch["content"], strict=True):
-                rows = feature_rows(bytes(content))
-                if rows is not None and len(rows):
-                    rows.insert(0, "path", p)
-                    yield rows
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, schema)
-
-
 def discover(spark: SparkSession, roots: list[str], kinds: dict[str, str]) -> DataFrame:
-    """(path, kind, size, sha256) of the files below `roots` with a known extension, each content hashed once."""
+    """(path, kind, size, sha256) of the files below `roots` with a known extension, in path order, each content hashed
+    once. A root named twice is an error, as its files would count twice; links that lead to no file are none."""
+    if len({r.rstrip("/") for r in roots}) < len(roots):
+        raise ValueError("a root is named twice")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     kind = F.lit(None).cast("string")
     for e, k in kinds.items():
         kind = F.when(ext == e, k).otherwise(kind)
     found = files.select("path", kind.alias("kind"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-    return found.where("kind is not null")
+    return found.where("kind is not null").orderBy("path")
+
+
+# Scope files: a magic, a version, a count and ascending ids, all little-endian.
+SCOPE_HEAD = b"L3DTSCP1" + (1).to_bytes(4, "little")
+MOST_SCOPE_IDS = 10_000_000
+
+
+def _little(value: Column) -> Column:
+    """Hex of a BIGINT, lowest byte first."""
+    big = F.lpad(F.hex(value), 16, "0")
+    return F.concat(*[F.substring(big, at, 2) for at in range(15, 0, -2)])
+
+
+def encode_scopes(members: DataFrame, scope: str, member: str) -> DataFrame:
+    """(scope, ids, problem, content, sha256): the scope file of each scope's distinct ids.
+
+    The format holds at most MOST_SCOPE_IDS ids above 0: a scope with more (COUNT) or with other ids (ENTRY) has a
+    problem and no content.
+    """
+    rows = members.select(scope, F.col(member).cast("bigint").alias("id")).where("id is not null").distinct()
+    sizes = rows.groupBy(scope).agg(F.count(F.lit(1)).alias("ids"), F.min("id").alias("least"))
+    problem = F.when(F.col("ids") > MOST_SCOPE_IDS, "COUNT").when(F.col("least") <= 0, "ENTRY")
+    checked = sizes.select(scope, "ids", problem.alias("problem"))
+    fits = rows.join(checked.where("problem is null").select(F.col(scope).alias("__s")), F.col(scope).eqNullSafe(F.col("__s")), "left_semi")
+    bodies = fits.groupBy(scope).agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), _little), "").alias("body"))
+    bodies = bodies.select(F.col(scope).alias("__s"), "body")
+    content = F.unhex(F.concat(F.lit(SCOPE_HEAD.hex()), _little(F.col("ids")), F.col("body")))
+    found = checked.join(bodies, F.col(scope).eqNullSafe(F.col("__s")), "left").withColumn("content", content)
+    return found.select(scope, "ids", "problem", "content", F.sha2("content", 256).alias("sha256"))
+
+
+def scope_ids(content: bytes) -> np.ndarray | str:
+    """The ids of a scope file, or why the bytes are none."""
+    if len(content) < 20:
+        return "SIZE"
+    if content[:8] != SCOPE_HEAD[:8]:
+        return "MAGIC"
+    if content[8:12] != SCOPE_HEAD[8:]:
+        return "VERSION"
+    count = int.from_bytes(content[12:20], "little")
+    if count == 0 or count > MOST_SCOPE_IDS:
+        return "COUNT"
+    if len(content) != 20 + 8 * count:
+        return "SIZE"
+    ids = np.frombuffer(content, "<u8", count, 20)
+    return "ENTRY" if ids[0] == 0 or (ids[1:] <= ids[:-1]).any() or ids[-1] >= 2**63 else ids.astype(np.int64)
+
+
+def decode_scopes(files: DataFrame, scope: str) -> DataFrame:
+    """(scope, problem, id) from rows (scope, content); a file with a problem gives one row that names it."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, content in enumerate(batch.column("content").to_pylist()):
+                found = scope_ids(content or b"")
+                n = 1 if isinstance(found, str) else len(found)
+                ids = pa.nulls(1, pa.int64()) if isinstance(found, str) else pa.array(found)
+                why = pa.array([found] * n if isinstance(found, str) else [None] * n, pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(scope).take(pa.array([i] * n)), why, ids], names=[scope, "problem", "id"])
+
+    kind = dict(files.dtypes)[scope]
+    return files.select(scope, "content").mapInArrow(unpack, f"{scope} {kind}, problem string, id bigint")

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from parallaxa.plans.lineage import shared_folder
-
 
 @dataclass(frozen=True)
 class Sink:
@@ -45,10 +43,6 @@ def micro_batches(
     query.awaitTermination()
 
 
-def pipeline_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/parallaxa/streams/{name}"
-
-
 def windowed_counts(rows: DataFrame, at: str, key: str, window: str, lateness: str) -> DataFrame:
     """(start, key, events): counts of event-time windows; rows later than `lateness` are dropped by a stream."""
     return (

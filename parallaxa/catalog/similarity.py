@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parallaxa.catalog.relational import feature_sets, match_results
-from parallaxa.catalog.statistics import _POINTS, points
+from parallaxa.catalog.statistics import _VALID, valid_matches
 from parallaxa.functions.bits import words
 from parallaxa.functions.geometry import parallax, project, quaternion_of_rotation, rotation_of_quaternion, undistort
 from parallaxa.functions.vectors import all_finite, canonical_matrix, root_normalised
@@ -139,25 +139,40 @@ def f08(spark, sf_dir):
     return rows.select("feature_set_id", "feature_index", *[(F.round(F.col("m")[i], 6) + F.lit(0.0)).alias(n) for i, n in ((0, "m00"), (4, "m11"), (8, "m22"))])
 
 
-@REGISTRY.query(
-    "j12_near_points",
-    f"""SELECT a.match_result_id, a.entry_index AS a_index, b.entry_index AS b_index, ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))::DOUBLE AS d2
-FROM {_POINTS} a JOIN {_POINTS} b ON a.match_result_id = b.match_result_id AND a.entry_index % 2 = 0 AND b.entry_index % 2 = 1
-WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 64""",
-)
-def j12(spark, sf_dir):
-    return _near(spark, sf_dir).withColumn("d2", F.col("d2").cast("double"))
+_SIDE = """(SELECT match_result_id, entry_index, feature_index_{s} % 64 AS x, feature_index_{s} // 64 % 64 AS y FROM {v})"""
+_NEAR = f"""near AS (SELECT a.match_result_id, a.entry_index AS a_index, b.entry_index AS b_index, ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))::DOUBLE AS d2
+FROM {_SIDE.format(s="a", v=_VALID)} a JOIN {_SIDE.format(s="b", v=_VALID)} b ON a.match_result_id = b.match_result_id
+WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 64 GROUP BY ALL)"""
 
 
 def _near(spark, sf_dir):
-    rows = points(spark, sf_dir).select("match_result_id", F.col("entry_index").alias("index"), "x", "y")
-    return near_points(rows.where("index % 2 = 0"), rows.where("index % 2 = 1"), "match_result_id", 8.0)
+    """Points of side a and of side b of each result that are within 8 of each other; an index is a place on a raster of
+    64 columns."""
+    rows = valid_matches(spark, sf_dir)
+    side = lambda s: rows.select(
+        "match_result_id", F.col("entry_index").alias("index"), (F.col(f"feature_index_{s}") % 64).alias("x"), F.expr(f"feature_index_{s} div 64 % 64").alias("y")
+    )
+    return near_points(side("a"), side("b"), "match_result_id", 8.0).withColumn("d2", F.col("d2").cast("double")).distinct()
 
 
-@REGISTRY.query("j12_greedy_association")
+@REGISTRY.query("j12_near_points", f"WITH {_NEAR} SELECT * FROM near")
+def j12(spark, sf_dir):
+    return _near(spark, sf_dir)
+
+
+@REGISTRY.query(
+    "j12_greedy_association",
+    f"""WITH RECURSIVE {_NEAR}, one AS (SELECT match_result_id AS r, a_index AS a, b_index AS b, min(d2) AS d FROM near GROUP BY ALL),
+c AS (SELECT r, a, row_number() OVER (PARTITION BY r ORDER BY a) AS n, list(struct_pack(d := d, b := b) ORDER BY d, b) AS cs FROM one GROUP BY r, a),
+g AS (SELECT DISTINCT r, 0::BIGINT AS n, []::BIGINT[] AS used, NULL::BIGINT AS a, NULL::STRUCT(d DOUBLE, b BIGINT) AS p FROM c
+UNION ALL SELECT r, n, CASE WHEN x IS NULL THEN used ELSE list_append(used, x.b) END, a, x
+  FROM (SELECT g.r, c.n, g.used, c.a, list_filter(c.cs, lambda y: NOT list_contains(g.used, y.b))[1] AS x FROM g JOIN c ON c.r = g.r AND c.n = g.n + 1))
+SELECT r AS match_result_id, a AS a_index, p.b AS b_index, p.d AS d2 FROM g WHERE p IS NOT NULL""",
+)
 def j12_greedy(spark, sf_dir):
-    """One-to-one partners within the radius, in index order: order-dependent, so tested against brute force."""
-    return greedy_association(_near(spark, sf_dir).withColumn("d2", F.col("d2").cast("double")), "match_result_id")
+    """One-to-one partners within the radius, as points of side a would choose them in index order."""
+    near = _near(spark, sf_dir).groupBy("match_result_id", "a_index", "b_index").agg(F.min("d2").alias("d2"))
+    return greedy_association(near, "match_result_id")
 
 
 _CAMERA = {"fx": 1200.0, "fy": 1190.0, "cx": 960.0, "cy": 540.0, "k1": -0.12, "k2": 0.03, "p1": 0.001, "p2": -0.0007}

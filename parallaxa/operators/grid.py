@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parallaxa.functions.geometry import spatial_cell
+from parallaxa.plans.lineage import cut
 
 
 def quota_selection(df: DataFrame, image: Sequence[str], cell: Sequence[str], order: Sequence[Column], per_cell: int, most: int) -> DataFrame:
@@ -54,20 +53,22 @@ def near_points(a: DataFrame, b: DataFrame, group: str, radius: float) -> DataFr
 def greedy_association(near: DataFrame, group: str) -> DataFrame:
     """One-to-one partners: points of `a` in index order take their nearest free partner, ties by smaller index.
 
-    The order of a group matters, so each group's bounded candidate list goes through one small loop.
+    Without going through a group in order: every point of `a` asks its nearest partner left, every partner holds the
+    smallest index that asked it, and all pairs of that partner with larger indexes are struck off, as whoever takes it
+    in the end is no larger. Once nothing is struck off, what is asked is held. Each round is two aggregations and a
+    join over the pairs left; pairs are distinct.
     """
-    kind = dict(near.dtypes)[group]
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["a_index", "d2", "b_index"])
-        used: set[int] = set()
-        done: set[int] = set()
-        keep = np.zeros(len(rows), dtype=bool)
-        for i, (a, b) in enumerate(zip(rows["a_index"], rows["b_index"], strict=True)):
-            if a not in done and b not in used:
-                done.add(a)
-                used.add(b)
-                keep[i] = True
-        return rows[keep]
-
-    return near.groupBy(group).applyInPandas(assign, f"{group} {kind}, a_index bigint, b_index bigint, d2 double")
+    left = cut(near.select(group, "a_index", "b_index", "d2").where(F.col(group).isNotNull()), "near")
+    while True:
+        asked = left.df.groupBy(group, "a_index").agg(F.min(F.struct("d2", "b_index")).alias("best"))
+        asked = asked.select(group, "a_index", "best.b_index", "best.d2")
+        held = asked.groupBy(group, "b_index").agg(F.min("a_index").alias("holder"))
+        judged = left.df.join(held, [group, "b_index"], "left").withColumn("off", F.coalesce(F.col("a_index") > F.col("holder"), F.lit(False)))
+        marked = cut(judged, "judged")
+        if not marked.df.where("off").head(1):
+            marked.drop()
+            return asked
+        following = cut(marked.df.where("not off").select(group, "a_index", "b_index", "d2"), "near")
+        marked.drop()
+        left.drop()
+        left = following

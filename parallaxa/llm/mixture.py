@@ -30,7 +30,7 @@ class MixModel:
     regularisation: float = 0.01
     fit_rounds: int = 12
     fit_partitions: int = 2
-    steps: int = 12
+    steps: int = 8
     tolerance: float = 1e-4
     soft_weight: float = 1.0
     tokenizer: str = "byte_bpe_50k"
@@ -101,13 +101,12 @@ class Rates:
 
     def of(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """(rate, both memberships side by side) of each row."""
-        n = batch.num_rows
-        columns = [batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, self.size) for c in ("membership", "predicted")]
+        e = np.frombuffer(b"".join(batch.column("mass").to_pylist()), dtype=np.float64).reshape(batch.num_rows, 2 * self.size)
+        known = e[:, : self.size]
         cap = batch.column("cap").to_numpy(zero_copy_only=False).astype(float)
-        e = np.concatenate(columns, axis=1)
-        rate = cap * np.clip(columns[0] @ self.first, 0, 1)
+        rate = cap * np.clip(known @ self.first, 0, 1)
         for kind, move in self.moves:
-            rate = np.clip(rate + e @ move if kind == "add" else rate * (columns[0] @ move), 0, cap)
+            rate = np.clip(rate + e @ move if kind == "add" else rate * (known @ move), 0, cap)
         return rate, e
 
     def totals(self, rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -121,13 +120,13 @@ class Rates:
                 sums += (batch.column("tokens").to_numpy() * rate) @ e
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names=names)
 
-        partial = rows.select("tokens", "cap", "membership", "predicted").mapInArrow(run, ", ".join(f"{n} double" for n in names))
+        partial = rows.select("tokens", "cap", "mass").mapInArrow(run, ", ".join(f"{n} double" for n in names))
         found = partial.agg(*[F.sum(n).alias(n) for n in names]).head()
         both = np.array([x or 0.0 for x in found])
         return both[: self.size], both[self.size :]
 
     def applied(self, rows: DataFrame) -> DataFrame:
-        """Adds `rate` to rows (doc_id, domain, tokens, cap, membership, predicted)."""
+        """Adds `rate` to rows with tokens, cap and mass."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -136,10 +135,25 @@ class Rates:
         return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("rate", "double"))
 
 
+def packed_masses(rows: DataFrame) -> DataFrame:
+    """Adds `mass`: membership and predicted side by side as the bytes of doubles, which the passes read at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            both = [batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for c in ("membership", "predicted")]
+            mass = pa.array([row.tobytes() for row in np.concatenate(both, axis=1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, mass], names=[*batch.schema.names, "mass"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("mass", "binary"))
+
+
 def fit_rates(rows: DataFrame, targets: np.ndarray, model: MixModel) -> Rates:
     """Document rates between 0 and the row's `cap`, by distributed projected-gradient least squares.
 
-    Rows have tokens, cap, membership and predicted. The rates start even over every domain's documents. Two sets of
+    Rows have tokens, cap, membership, predicted and mass. The rates start even over every domain's documents. Two sets of
     totals are to match the targets: those of the memberships and, with a smaller weight, those of the predictions. A
     step moves each rate along the scaled residuals and clips it. Each total's scale is one over twice its tokens: as
     both memberships of a row sum to 1 at most, no step can overshoot, and the error falls with every step. The last
@@ -240,7 +254,7 @@ def mix(documents: DataFrame, weights: DataFrame, model: MixModel | None = None)
     )
     posteriors = domain_posteriors(counted.df, domains, model)
     counted.drop()
-    rows = cut(posteriors.df.withColumn("cap", _cap([c for _, _, c in asked])).where("tokens > 0"), "members")
+    rows = cut(packed_masses(posteriors.df.withColumn("cap", _cap([c for _, _, c in asked])).where("tokens > 0")), "members")
     posteriors.drop()
     m, t = F.col("membership"), F.col("tokens").cast("double")
     # what each source could give: its sure and its expected tokens under their caps
@@ -251,7 +265,7 @@ def mix(documents: DataFrame, weights: DataFrame, model: MixModel | None = None)
     share = usable / usable.sum() if usable.sum() > 0 else usable
     held = share > 0
     total = float((room[held] / share[held]).min()) if held.any() else 0.0
-    rated = fit_rates(rows.df, share * total, model).applied(rows.df).withColumnRenamed("domain", "source")
+    rated = fit_rates(rows.df, share * total, model).applied(rows.df).withColumnRenamed("domain", "source").drop("mass")
     copies = whole_copies(rated)
     rows.drop()
     c = copies.df

@@ -2,9 +2,8 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from parallaxa.llm.mixture import MixModel, fit_rates, mix
+from parallaxa.llm.mixture import MixModel, fit_rates, mix, packed_masses
 
 MODEL = MixModel(hashed_words=256)
 
@@ -67,11 +66,11 @@ def test_no_documents_one_source_and_no_weights(spark):
 
 def rows_of(spark, p, q, t, cap):
     data = [(i, int(t[i]), [float(x) for x in p[i]], [float(x) for x in q[i]], float(cap[i])) for i in range(len(t))]
-    return spark.createDataFrame(data, "doc_id int, tokens bigint, membership array<double>, predicted array<double>, cap double").repartition(3)
+    return packed_masses(spark.createDataFrame(data, "doc_id int, tokens bigint, membership array<double>, predicted array<double>, cap double").repartition(3))
 
 
 def rates_of(rows, found):
-    kept = found.applied(rows.withColumn("domain", F.lit(None).cast("string"))).select("doc_id", "rate")
+    kept = found.applied(rows).select("doc_id", "rate")
     return np.array([r.rate for r in kept.orderBy("doc_id").collect()])
 
 

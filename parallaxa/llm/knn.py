@@ -91,7 +91,7 @@ class Index:
     probes: int = 12
     replica_ratio: float = 1.2
     probe_ratio: float = 1.3
-    degree: int = 96
+    degree: int = 128
     sample_per_list: int = 8
     lists_per_cell: int = 256
     block_members: int = 4096
@@ -116,39 +116,54 @@ class Lists:
         step = max(1, int(math.sqrt(len(self.centroids)) / 2))
         self.entries = np.arange(0, len(self.centroids), step)
 
-    def search(self, q: np.ndarray, wanted: int, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, wanted: int, beam: int = 3, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """The nearest centroids of each row by a greedy walk in the graph: (ids, squared distances), nearest first.
 
         Rows start at their nearest entry point. A step looks at all neighbours of the current centroid and moves to
-        the nearest; a row whose centroid has no nearer neighbour stops there. Rows at the same centroid step together,
-        so that each step is a few matrix products.
+        the nearest; a row whose centroid has no nearer neighbour stops there, and then looks around the `beam` nearest
+        of what it has found, too. Rows at the same centroid step together, so that each step is a few matrix products.
         """
         m, n = len(self.centroids), len(q)
         wanted = min(wanted, m)
         norm = (q * q).sum(1)
         ids = np.full((n, wanted), -1)
         dist = np.full((n, wanted), np.inf, dtype=np.float32)
+
+        def look(rows: np.ndarray, at: int, merge: bool) -> None:
+            around = self.neighbours[at]
+            around = np.append(around[around >= 0], at)
+            d = norm[rows][:, None] + self.norms[around][None, :] - 2 * (q[rows] @ self.centroids[around].T)
+            found = np.broadcast_to(around, d.shape)
+            if merge:
+                d[(found[:, :, None] == ids[rows][:, None, :]).any(2)] = np.inf
+                d, found = np.concatenate([dist[rows], d], axis=1), np.concatenate([ids[rows], found], axis=1)
+            take = min(wanted, d.shape[1])
+            near = np.argpartition(d, take - 1, axis=1)[:, :take] if take < d.shape[1] else np.tile(np.arange(take), (len(rows), 1))
+            near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1), 1)
+            ids[rows, :take] = np.take_along_axis(found, near, 1)
+            dist[rows, :take] = np.take_along_axis(d, near, 1)
+
+        def together(active: np.ndarray, at: np.ndarray, merge: bool) -> None:
+            order = active[np.argsort(at[active], kind="stable")]
+            for rows in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+                look(rows, int(at[rows[0]]), merge)
+
         now = self.entries[np.argmin(self.norms[self.entries][None, :] - 2 * (q @ self.centroids[self.entries].T), axis=1)]
         active = np.arange(n)
         for _ in range(steps):
-            order = active[np.argsort(now[active], kind="stable")]
-            cuts = np.flatnonzero(np.diff(now[order])) + 1
-            moved = np.zeros(n, dtype=bool)
-            for rows in np.split(order, cuts):
-                at = now[rows[0]]
-                around = self.neighbours[at]
-                around = np.append(around[around >= 0], at)
-                d = norm[rows][:, None] + self.norms[around][None, :] - 2 * (q[rows] @ self.centroids[around].T)
-                take = min(wanted, len(around))
-                near = np.argpartition(d, take - 1, axis=1)[:, :take] if take < len(around) else np.tile(np.arange(take), (len(rows), 1))
-                near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1), 1)
-                ids[rows, :take] = around[near]
-                dist[rows, :take] = np.take_along_axis(d, near, 1)
-                moved[rows] = ids[rows, 0] != at
-                now[rows] = ids[rows, 0]
-            active = np.flatnonzero(moved)
             if not len(active):
                 break
+            together(active, now, False)
+            moved = active[ids[active, 0] != now[active]]
+            now[moved] = ids[moved, 0]
+            active = moved
+        if m > self.neighbours.shape[1] + 1:  # else one look has seen all
+            seen = [now]
+            for place in range(1, min(beam, wanted)):
+                at = ids[:, place].copy()
+                fresh = (at >= 0) & ~np.any([at == s for s in seen], axis=0)
+                together(np.flatnonzero(fresh), at, True)
+                seen.append(at)
         return ids, np.maximum(dist, 0)
 
 

@@ -9,10 +9,11 @@ from parallaxa.catalog.relational import feature_sets, match_results
 from parallaxa.catalog.statistics import _VALID, valid_matches
 from parallaxa.catalog.tracks import _TRACKS, track_members
 from parallaxa.functions.classify import graded, pair_evidence, seed_of
-from parallaxa.functions.text import human_size, pressure_basis_points
+from parallaxa.functions.text import human_size, pressure_basis_points, same_stem
 from parallaxa.operators.components import components
 from parallaxa.operators.merge import advance
 from parallaxa.operators.prefix import positions, prefix_scan
+from parallaxa.operators.progress import remaining_seconds
 from parallaxa.operators.scans import first_delivery, keyset_page, latest_by
 from parallaxa.plans.registry import Registry
 from parallaxa.plans.tables import table
@@ -207,19 +208,23 @@ def a24(spark, sf_dir):
 @REGISTRY.query(
     "w10_anchors",
     """WITH a AS (SELECT label, min(vec_id) AS pose_anchor FROM embeddings GROUP BY 1),
-d AS (SELECT e.label, e.vec_id, a.pose_anchor, round(list_distance(e.embedding[1:3]::DOUBLE[], x.embedding[1:3]::DOUBLE[]), 6) AS far FROM embeddings e JOIN a ON a.label = e.label JOIN embeddings x ON x.vec_id = a.pose_anchor),
+d AS (SELECT e.label, e.vec_id, a.pose_anchor, round(list_distance(e.embedding[1:3]::DOUBLE[], x.embedding[1:3]::DOUBLE[]), 6) AS far,
+  [abs(e.embedding[1]::DOUBLE - x.embedding[1]), abs(e.embedding[2]::DOUBLE - x.embedding[2]), abs(e.embedding[3]::DOUBLE - x.embedding[3])] AS delta
+  FROM embeddings e JOIN a ON a.label = e.label JOIN embeddings x ON x.vec_id = a.pose_anchor),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY far DESC, vec_id) AS n FROM d)
-SELECT label, pose_anchor, vec_id AS scale_anchor, far FROM r WHERE n = 1""",
+SELECT label, pose_anchor, vec_id AS scale_anchor, far, list_position(delta, list_max(delta))::INT AS axis FROM r WHERE n = 1""",
 )
 def w10(spark, sf_dir):
-    """The smallest id of a group, and the member farthest from it (ties: smaller id)."""
+    """The smallest id of a group, the member farthest from it (ties: smaller id), and the first axis on which they
+    differ most."""
     e = table(spark, sf_dir, "embeddings").select("label", "vec_id", *[F.col("embedding")[i].cast("double").alias(f"c{i}") for i in range(3)])
     first = e.groupBy("label").agg(F.min_by(F.struct(*[f"c{i}" for i in range(3)]), "vec_id").alias("a"), F.min("vec_id").alias("pose_anchor"))
-    squares = [(F.col(f"c{i}") - F.col(f"a.c{i}")) * (F.col(f"c{i}") - F.col(f"a.c{i}")) for i in range(3)]
-    far = F.round(F.sqrt(squares[0] + squares[1] + squares[2]), 6)
-    d = e.join(first, "label").select("label", "pose_anchor", "vec_id", far.alias("far"))
-    best = d.groupBy("label", "pose_anchor").agg(F.max_by(F.struct("vec_id", "far"), F.struct("far", (-F.col("vec_id")).alias("n"))).alias("b"))
-    return best.select("label", "pose_anchor", F.col("b.vec_id").alias("scale_anchor"), F.col("b.far").alias("far"))
+    delta = [F.abs(F.col(f"c{i}") - F.col(f"a.c{i}")) for i in range(3)]
+    far = F.round(F.sqrt(delta[0] * delta[0] + delta[1] * delta[1] + delta[2] * delta[2]), 6)
+    axis = F.array_position(F.array(*delta), F.greatest(*delta)).cast("int")
+    d = e.join(first, "label").select("label", "pose_anchor", "vec_id", far.alias("far"), axis.alias("axis"))
+    best = d.groupBy("label", "pose_anchor").agg(F.max_by(F.struct("vec_id", "far", "axis"), F.struct("far", (-F.col("vec_id")).alias("n"))).alias("b"))
+    return best.select("label", "pose_anchor", F.col("b.vec_id").alias("scale_anchor"), F.col("b.far").alias("far"), F.col("b.axis").alias("axis"))
 
 
 @REGISTRY.query(
@@ -312,6 +317,61 @@ def g03(spark, sf_dir):
     return rows.withColumn("consistent", (F.col("kinds") == 1) & (F.col("images") == 1))
 
 
+@REGISTRY.query(
+    "g03_edge_problems",
+    """WITH bad AS (SELECT feature_set_id FROM feature_sets GROUP BY 1 HAVING count(DISTINCT extractor_kind || '/' || extractor_version) > 1 OR count(DISTINCT image_id) > 1),
+r AS (SELECT DISTINCT match_result_id, feature_set_id_a AS a, feature_set_id_b AS b FROM match_results WHERE result_status = 1)
+SELECT match_result_id, CASE WHEN a IS NULL OR b IS NULL THEN 'SIDE' WHEN a = b THEN 'SELF' WHEN a IN (SELECT * FROM bad) OR b IN (SELECT * FROM bad) THEN 'CONTRADICTION'
+  WHEN NOT EXISTS (SELECT 1 FROM feature_sets f WHERE f.feature_set_id = a) OR NOT EXISTS (SELECT 1 FROM feature_sets f WHERE f.feature_set_id = b) THEN 'UNKNOWN' ELSE 'OK' END AS state FROM r""",
+)
+def g03_edges(spark, sf_dir):
+    """Why a matched result may not become an edge: a side missing, a set against itself, a contradicted or unknown set."""
+    nodes = g03(spark, sf_dir).select("feature_set_id", "consistent")
+    rows = match_results(spark, sf_dir, "match_result_id", "feature_set_id_a", "feature_set_id_b", "result_status").where("result_status = 1")
+    for side in ("a", "b"):
+        rows = rows.join(nodes.select(F.col("feature_set_id").alias(f"feature_set_id_{side}"), F.col("consistent").alias(f"ok_{side}")), f"feature_set_id_{side}", "left")
+    a, b = F.col("feature_set_id_a"), F.col("feature_set_id_b")
+    wrong = F.coalesce(~F.col("ok_a"), F.lit(False)) | F.coalesce(~F.col("ok_b"), F.lit(False))
+    state = F.when(a.isNull() | b.isNull(), "SIDE").when(a == b, "SELF").when(wrong, "CONTRADICTION").when(F.col("ok_a").isNull() | F.col("ok_b").isNull(), "UNKNOWN")
+    return rows.select("match_result_id", state.otherwise("OK").alias("state"))
+
+
+@REGISTRY.query(
+    "f10_same_stems",
+    """WITH a AS (SELECT DISTINCT match_asset_path AS p, candidate_pair_id AS c FROM match_results WHERE match_asset_path IS NOT NULL)
+SELECT x.c AS candidate_pair_id, x.p AS first_path, y.p AS second_path,
+  regexp_replace(regexp_extract(x.p, '[^/]*$'), '\\.[^.]*$', '') = regexp_replace(regexp_extract(y.p, '[^/]*$'), '\\.[^.]*$', '') AS same
+FROM a x JOIN a y ON x.c = y.c AND x.p < y.p""",
+)
+def f10(spark, sf_dir):
+    """Assets of one candidate pair, and whether their names agree up to the last dot."""
+    rows = match_results(spark, sf_dir, "match_asset_path", "candidate_pair_id").where("match_asset_path is not null")
+    a, b = rows.withColumnRenamed("match_asset_path", "first_path"), rows.withColumnRenamed("match_asset_path", "second_path")
+    pairs = a.join(b, "candidate_pair_id").where("first_path < second_path")
+    return pairs.withColumn("same", same_stem(F.col("first_path"), F.col("second_path")))
+
+
+@REGISTRY.query(
+    "f19_remaining_seconds",
+    """WITH p AS (SELECT r.match_result_id, r.match_count AS total, count(m.entry_index) AS done, r.seconds FROM (SELECT match_result_id, match_count, min(epoch_us(ingested_at) - epoch_us(created_at)) // 1000000 AS seconds
+  FROM match_results WHERE match_count > 0 GROUP BY 1, 2) r LEFT JOIN (SELECT DISTINCT match_result_id, entry_index FROM matches) m ON m.match_result_id = r.match_result_id GROUP BY 1, 2, 4)
+SELECT match_result_id, CASE WHEN done > total THEN 'ERROR' WHEN done = total THEN 'COMPLETE' WHEN done < 2 OR seconds <= 0 THEN 'WARMING' ELSE 'KNOWN' END AS state,
+  CASE WHEN done = total THEN 0 WHEN done < 2 OR seconds <= 0 OR done > total THEN NULL ELSE ceil((total - done) / (done / seconds::DOUBLE))::BIGINT END AS seconds FROM p""",
+)
+def f19(spark, sf_dir):
+    """How long a result's missing entries would take at the rate of those that are there, and whether that is known."""
+    gap = F.unix_micros(F.col("ingested_at").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))
+    declared = table(spark, sf_dir, "match_results").where("match_count > 0").select("match_result_id", F.col("match_count").alias("total"), gap.alias("gap"))
+    declared = declared.groupBy("match_result_id", "total").agg(F.min("gap").alias("gap")).withColumn("seconds", F.expr("gap div 1000000"))
+    there = table(spark, sf_dir, "matches").select("match_result_id", "entry_index").distinct().groupBy("match_result_id").agg(F.count("entry_index").alias("n"))
+    p = declared.join(there, "match_result_id", "left").withColumn("done", F.coalesce("n", F.lit(0)).cast("bigint"))
+    done, total = F.col("done"), F.col("total")
+    rate = F.when((done >= 2) & (F.col("seconds") > 0), done / F.col("seconds"))
+    state = F.when(done > total, "ERROR").when(done == total, "COMPLETE").when(rate.isNull(), "WARMING").otherwise("KNOWN")
+    left = F.when(done == total, F.lit(0).cast("bigint")).when(done < total, remaining_seconds(done, total, rate, done))
+    return p.select("match_result_id", state.alias("state"), left.alias("seconds"))
+
+
 @REGISTRY.query(
     "g05_image_components",
     """WITH RECURSIVE e AS (SELECT DISTINCT a.image_id AS u, b.image_id AS v FROM match_results r

@@ -91,7 +91,7 @@ class Index:
     probes: int = 12
     replica_ratio: float = 1.2
     probe_ratio: float = 1.3
-    degree: int = 128
+    degree: int = 256
     sample_per_list: int = 8
     lists_per_cell: int = 256
     block_members: int = 4096
@@ -116,7 +116,7 @@ class Lists:
         step = max(1, int(math.sqrt(len(self.centroids)) / 2))
         self.entries = np.arange(0, len(self.centroids), step)
 
-    def search(self, q: np.ndarray, wanted: int, beam: int = 3, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, wanted: int, beam: int = 1, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """The nearest centroids of each row by a greedy walk in the graph: (ids, squared distances), nearest first.
 
         Rows start at their nearest entry point. A step looks at all neighbours of the current centroid and moves to
